@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..ship import ship
 from .bpe_tree import encode_documents
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .packing import pack_documents
 
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -30,7 +35,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_tree, op6_exact_dedup, op9_packing)}
+    return {f.__name__: f for f in (op2_jaccard_join, op4_bpe_tree, op6_exact_dedup, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
