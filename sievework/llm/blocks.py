@@ -152,3 +152,9 @@ def text_bytes(blocks: DataFrame) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x.as_py(), dtype=np.int64).sum()) for x in batch.column(0)], pa.int64())], names=["n"])
 
     return blocks.select("sizes").mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def attach(blocks: DataFrame, table: DataFrame, column: str, limit: int = 32 << 20) -> DataFrame:
+    """``blocks`` joined to a written ``table`` by block: by broadcast if ``column`` has at most ``limit`` bytes in all, else by shuffle."""
+    size = table.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return blocks.join(F.broadcast(table) if size <= limit else table, "block")

@@ -12,6 +12,7 @@ from .bpe_tree import encode_documents
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
+from .substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -35,7 +40,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op4_bpe_tree, op6_exact_dedup, op9_packing)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op6_exact_dedup, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
