@@ -12,6 +12,7 @@ from .bpe_tree import encode_documents
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
+from .pii_boost import find_pii
 from .substring_dedup import substring_dedup
 
 
@@ -35,12 +36,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op6_exact_dedup, op9_packing)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op6_exact_dedup, op8_pii_boost, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
