@@ -11,6 +11,7 @@ from ..ship import ship
 from .bpe_tree import encode_documents
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .langid_crf import identify
 from .packing import pack_documents
 from .pii_boost import find_pii
 from .substring_dedup import substring_dedup
@@ -44,8 +45,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op6_exact_dedup, op8_pii_boost, op9_packing)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op6_exact_dedup, op8_pii_boost, op9_packing, op10_langid_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
