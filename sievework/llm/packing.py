@@ -4,24 +4,26 @@ One narrow pass tokenises and cuts; only piece lengths are packed. Pieces are sp
 groups of bounded size, so the groups' number grows with the input and no task holds more than one.
 A group is packed by best fit in decreasing order. Then bins that aren't full exchange pieces, one
 for one, two for one or by a move, always towards a larger sum of squared fills, until a bin is
-empty; this is repeated while fewer bins than the volume bound allows are conceivable.
+empty; this ends when the bins are as few as the total length needs, or no exchange is left.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_tree import Splitter, pattern_of
 from .shared import keep, shared_folder
 
 #: Pieces of a group, about. The last bins of a group may be underfull, so larger groups pack better.
@@ -31,8 +33,34 @@ DONORS = 3_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[str, int]:
+    """Byte-level files' letter for each byte: itself if printable, else one from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """The merge ranks of a byte-level BPE file, if its ids are ranks: single bytes, then the merges in their order."""
+    model = json.loads(Path(path).read_text())["model"]
+    letters = _byte_letters()
+    vocab = model["vocab"]
+    first = len(vocab) - len(model["merges"])
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    if model["type"] != "BPE" or model.get("dropout") or any(vocab.get("".join(p)) != first + k for k, p in enumerate(pairs)):
+        return None
+    try:
+        return {bytes(letters[x] for x in token): i for token, i in vocab.items()}
+    except KeyError:
+        return None
+
+
 class Tokens:
-    """Texts to little-endian 32-bit ids by a tokenizer file, remembering chunks."""
+    """Texts to little-endian 32-bit ids by a tokenizer file.
+
+    Where the file's ids are merge ranks, a faster encoder gives the same ids for texts that hold no
+    special token's string; other texts and files go through the tokenizer itself.
+    """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
@@ -40,15 +68,13 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added]
-        self.split = Splitter(pattern_of(pattern), self._ids, b"".join)
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        ranks = ranks_of(path)
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._ids(text)
-        return b"".join(self.split(text))
+        if self.fast is None or any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast(text)).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
