@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..ship import ship
 from .bpe_tree import encode_documents
 from .exact_dedup import exact_dedup
+from .html_mincut import extract_pages
 from .jaccard_join import jaccard_join
 from .langid_crf import identify
 from .packing import pack_documents
 from .pii_boost import find_pii
+from .quality_rff import score_quality
 from .substring_dedup import substring_dedup
 
 
@@ -33,10 +35,18 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +61,7 @@ def op10_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op6_exact_dedup, op8_pii_boost, op9_packing, op10_langid_crf)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op5_html_mincut, op6_exact_dedup, op7_quality_rff, op8_pii_boost, op9_packing, op10_langid_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
