@@ -17,12 +17,17 @@ from .packing import pack_documents
 from .pii_boost import find_pii
 from .quality_rff import score_quality
 from .substring_dedup import substring_dedup
+from .topk_cover import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -61,11 +66,20 @@ def op10_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op5_html_mincut, op6_exact_dedup, op7_quality_rff, op8_pii_boost, op9_packing, op10_langid_crf)}
+    return {f.__name__: f for f in (op1_topk_cover, op2_jaccard_join, op3_substring_dedup, op4_bpe_tree, op5_html_mincut, op6_exact_dedup, op7_quality_rff, op8_pii_boost, op9_packing, op10_langid_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk_cover": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+                       FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                 s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                              list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+                       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+                 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
