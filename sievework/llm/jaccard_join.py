@@ -3,10 +3,11 @@
 Documents with the same shingle set form a class, and only class representatives are joined.
 A shingle that one class has can't be shared, so a census (see blocks) tells every block how many
 classes have each of its shingles; a representative then posts, of the rarest shingles that any
-partner must share one of, only those that another class has. Lists of postings link representatives
-whose sizes allow a match; connected ones come together in a unit with their whole sets. In a unit,
-T-occurrence search finds the partners: short inverted lists are merged, long ones are probed by
-binary search, and documents that reach the required overlap are retained. Units give each
+partner must share SHARE of, only those that another class has. Lists of postings give pairs that
+meet often enough, which is what keeps chance meetings out; a list too long for its pairs links its
+documents in a chain. Linked representatives come together in a unit with their whole sets. In a
+unit, T-occurrence search finds the partners: short inverted lists are merged, long ones are probed
+by binary search, and documents that reach the required overlap are retained. Units give each
 representative's number of links and a spanning forest of them, never the pairs.
 """
 
@@ -18,16 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PLACE_BITS, Block, answer, census, each, ranges, stage, text_bytes
+from .blocks import PLACE_BITS, Block, answer, attach, census, each, ranges, stage
 from .components import components
 from .shared import back, join_skewed, keep, shared_folder, wide
 from .wordscan import Words, mix
 
 #: Bytes of shingle sets that a unit, or each side of a unit of two slabs, has.
 UNIT_BYTES = 4 << 20
+#: Shared shingles among the rarest that make two documents candidates (fewer where sets are smaller).
+SHARE = 6
+#: Documents of a list whose pairs are counted; longer lists link all their documents.
+PAIRED = 64
 #: DivideSkip's weight of the number of long lists.
 MU = 0.0085
 
@@ -61,12 +67,13 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _chosen(block: Block, row: dict, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    places = np.sort(np.array(row["places"], dtype=np.int64))
+    places = np.sort(np.array(row["places"].split(" "), dtype=np.int64))
     return places, shingle_sets([block.texts[p] for p in places], width)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Of a block's representatives, those with a shared shingle among the rarest: uid, n, set and those shingles."""
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, n_ranges: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a block by range of shingles: those among each representative's rarest that another class has."""
+    zip_ = zstandard.ZstdCompressor(level=1)
     for block, row in each(batches):
         places, sets = _chosen(block, row, width)
         if not sets:
@@ -79,24 +86,96 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int)
         owner = np.repeat(np.arange(len(sets)), sizes)
         order = np.lexsort((every, c, owner))  # rare ones first, alike in all blocks
         place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        length = sizes - (num * sizes + den - 1) // den + 1
-        post = np.zeros(len(every), dtype=bool)
-        post[order] = place < np.repeat(length, sizes)
-        post &= c > 1
-        rows = [(block.uid(int(p)), len(s), s.tobytes(), x.tobytes()) for p, s, x in zip(places, sets, (s[m] for s, m in zip(sets, np.split(post, np.cumsum(sizes)[:-1]), strict=True)), strict=True) if len(x)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["uid", "n", "shingles", "posted"])
-
-
-def _lists(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Postings of one range of shingles to edges that connect all documents whose sizes allow a match."""
-    cat = lambda c, t: np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table[c]])
-    token, uid, n = cat("tokens", np.uint64), cat("uids", np.int64), cat("ns", np.int64)
+        least = (num * sizes + den - 1) // den  # shared with any partner
+        length = sizes - least + np.minimum(least, SHARE)
+        chosen = order[(place < np.repeat(length, sizes)) & (c[order] > 1)]
+        token, own = every[chosen], owner[chosen]
+        if not len(token):
+            continue
+        by = np.argsort(token, kind="stable")
+        token, own = token[by], own[by]
+        r = ranges(token, n_ranges)
+        cut = np.flatnonzero(np.diff(r)) + 1
+        uid = places[own] + (block.number << PLACE_BITS)
+        # within a range the lower half tells shingles apart but for chance, which only makes candidates
+        parts = [[zip_.compress(x.tobytes()) for x in np.split(y.astype(np.uint32), cut)] for y in (token & np.uint64(0xFFFFFFFF), places[own], sizes[own])]
+        firsts = r[np.r_[0, cut]].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(firsts), pa.array([block.number] * len(firsts), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], names=["range", "block", "tokens", "places", "ns"])
+
+
+def _weigh(pairs: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs (rows) and their weights' sums, up to SHARE."""
+    every, w = np.concatenate(pairs), np.concatenate(weights)
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    every, w = every[order], w[order].astype(np.int64)
+    head = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]).any(axis=1)][: len(every)])
+    return every[head], np.minimum(np.add.reduceat(w, head) if len(head) else w[:0], SHARE).astype(np.uint8)
+
+
+def _lists(table: pa.Table, num: int, den: int, n_ranges: int) -> pa.Table:
+    """Postings of one range to weighted pairs, by range of the pair; SHARE is the weight of a candidate."""
+    unzip = zstandard.ZstdDecompressor()
+    parts = {c: [np.frombuffer(unzip.decompress(x.as_py()), dtype=np.uint32) for x in table[c]] for c in ("tokens", "places", "ns")}
+    token, n = np.concatenate(parts["tokens"]), np.concatenate(parts["ns"]).astype(np.int64)
+    uid = np.concatenate(parts["places"]).astype(np.int64) + (np.repeat(table["block"].to_numpy(), list(map(len, parts["places"]))) << PLACE_BITS)
     order = np.lexsort((uid, n, token))
     token, uid, n = token[order], uid[order], n[order]
-    near = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])
-    pairs = np.unique(np.stack([uid[:-1][near], uid[1:][near]], axis=1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    pairs, weights, held = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0, dtype=np.uint8)], 0
+
+    def add(i: np.ndarray, j: np.ndarray, sure: bool = False) -> None:
+        nonlocal pairs, weights, held
+        ok = den * n[i] >= num * n[j]
+        i, j = i[ok], j[ok]
+        pairs.append(np.stack([uid[i], uid[j]], axis=1))
+        # a small set must share fewer, so each of them weighs more
+        fewest = np.minimum((num * n[i] + den - 1) // den, SHARE)
+        weights.append(np.full(len(i), SHARE, dtype=np.uint8) if sure else (-(-SHARE // fewest)).astype(np.uint8))
+        held += len(i)
+        if held > 2_000_000:
+            p, w = _weigh(pairs, weights)
+            pairs, weights, held = [p], [w], 0
+
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    length = np.diff(np.r_[start, len(token)])
+    for size in np.unique(length[(length > 1) & (length <= PAIRED)]).tolist():
+        x, y = np.triu_indices(size, 1)
+        of = start[length == size]
+        for part in np.array_split(of, max(1, len(of) * len(x) // 1_000_000)):
+            add((part[:, None] + x).ravel(), (part[:, None] + y).ravel())
+    in_long = np.repeat(length > PAIRED, length)
+    i = np.flatnonzero(in_long[:-1] & (token[1:] == token[:-1]))
+    add(i, i + 1, sure=True)  # neighbours by size suffice: if two sizes allow a match, so do all between
+    p, w = _weigh(pairs, weights)
+    p.sort(axis=1)
+    r = ranges(mix(p[:, 0].astype(np.uint64)), n_ranges)
+    order = np.lexsort((p[:, 1], p[:, 0], r))
+    p, w, r = p[order], w[order], r[order]
+    cut = np.flatnonzero(np.diff(r)) + 1
+    zip_ = zstandard.ZstdCompressor(level=3)
+    parts = [[zip_.compress(x.tobytes()) for x in np.split(y, cut)] for y in (p[:, 0].copy(), p[:, 1].copy(), w)] if len(p) else [[], [], []]
+    return pa.table({"range": pa.array(r[np.r_[0, cut]].astype(np.int32) if len(p) else np.zeros(0, dtype=np.int32)), **{c: pa.array(x, pa.binary()) for c, x in zip(("a", "b", "w"), parts, strict=True)}})
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Weighted pairs of one range to candidate pairs."""
+    unzip = zstandard.ZstdDecompressor()
+    cat = lambda c, t: np.concatenate([np.frombuffer(unzip.decompress(x.as_py()), dtype=t) for x in table[c]])
+    p, w = _weigh([np.stack([cat("a", np.int64), cat("b", np.int64)], axis=1)], [cat("w", np.uint8)])
+    p = p[w >= SHARE]
+    return pa.table({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The whole sets of the representatives that a block's row names, once for each of their units."""
+    for block, row in each(batches):
+        jobs = np.array([x.split(",") for x in row["jobs"].split(" ")], dtype=np.int64)  # place, unit, side, size, root
+        places, at = np.unique(jobs[:, 0], return_inverse=True)
+        sets = [x.tobytes() for x in shingle_sets([block.texts[p] for p in places], width)]
+        n = np.array([len(x) // 8 for x in sets])
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(np.ascontiguousarray(jobs[:, c])) for c in (1, 2, 3, 4)), pa.array(jobs[:, 0] + (block.number << PLACE_BITS)), pa.array(n[at]), pa.array([sets[i] for i in at], pa.binary())],
+            names=["unit", "side", "size", "root", "uid", "n", "shingles"],
+        )
 
 
 def divide_skip(n: np.ndarray, uid: np.ndarray, size: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +317,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = keep(blocks.mapInArrow(lambda it: _sign(it, width), "uid long, id long, n long, s1 long, s2 long"), f"{at}/sets")
     classes = keep(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "uid")).alias("rep"), F.count("*").alias("size")).select("s1", "s2", "n", "rep.id", "rep.uid", "size"), f"{at}/classes")
 
-    live = classes.groupBy(F.shiftright("uid", PLACE_BITS).alias("block")).agg(F.collect_list(F.col("uid").bitwiseAND((1 << PLACE_BITS) - 1)).alias("places"))
-    chosen = blocks.join(live, "block")
+    def by_block(reps: DataFrame) -> DataFrame:
+        places = F.collect_list(F.col("uid").bitwiseAND((1 << PLACE_BITS) - 1).cast("string"))
+        return reps.groupBy(F.shiftright("uid", PLACE_BITS).alias("block")).agg(F.array_join(F.sort_array(places), " ").alias("places"))
+
+    chosen = attach(blocks, keep(by_block(classes), f"{at}/live"), "places")
 
     def keys(block: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
         _, s = _chosen(block, row, width)
@@ -247,28 +329,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     asked = chosen.join(census(chosen, keys, shingles), "block")
-    probe = keep(asked.mapInArrow(lambda it: _prefixes(it, width, num, den), "uid long, n long, shingles binary, posted binary"), f"{at}/probe", compression="none")
-
-    n_lists = wide(spark, (probe.agg(F.sum(F.octet_length("posted"))).first()[0] or 0) * 3, 16 << 20)
-
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column("posted")]
-            lens = [len(t) for t in tokens]
-            token = np.concatenate(tokens)
-            uid, n = (np.repeat(batch.column(c).to_numpy(), lens) for c in ("uid", "n"))
-            r = ranges(token, n_lists)
-            order = np.argsort(r, kind="stable")
-            cut = np.flatnonzero(np.diff(r[order])) + 1
-            parts = [[x.tobytes() for x in np.split(y[order], cut)] for y in (token, uid, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(r[order][np.r_[0, cut]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in parts)], names=["range", "tokens", "uids", "ns"])
-
-    posted = probe.select("uid", "n", "posted").mapInArrow(scatter, "range int, tokens binary, uids binary, ns binary")
-    near = posted.groupBy("range").applyInArrow(lambda t: _lists(t, num, den), "a long, b long")
+    n_lists, n_pairs = wide(spark, shingles * 2, 16 << 20), wide(spark, shingles, 16 << 20)
+    posted = asked.mapInArrow(lambda it: _prefixes(it, width, num, den, n_lists), "range int, block long, tokens binary, places binary, ns binary")
+    pairs = posted.groupBy("range").applyInArrow(lambda t: _lists(t, num, den, n_pairs), "range int, a binary, b binary, w binary")
+    near = pairs.groupBy("range").applyInArrow(_meet, "a long, b long")
     comp = components(near, f"{at}/near")
-    roots = comp.union(comp.select("root", "root").distinct())
-    reps = keep(probe.select("uid", "n").join(roots.withColumnRenamed("v", "uid"), "uid").join(classes.select("uid", "size"), "uid"), f"{at}/reps")
-    units = _units(reps, num, den, unit_bytes).join(probe.select("uid", "n", "shingles"), "uid")
+    roots = comp.union(comp.select("root", "root").distinct()).toDF("uid", "root")
+    reps = keep(classes.select("uid", "n", "size").join(roots, "uid"), f"{at}/reps")
+    job = F.concat_ws(",", F.col("uid").bitwiseAND((1 << PLACE_BITS) - 1), "unit", "side", "size", "root")
+    jobs = _units(reps, num, den, unit_bytes).groupBy(F.shiftright("uid", PLACE_BITS).alias("block")).agg(F.concat_ws(" ", F.collect_list(job)).alias("jobs"))
+    units = attach(blocks, keep(jobs, f"{at}/jobs"), "jobs").mapInArrow(lambda it: _sets(it, width), "unit long, side long, size long, root long, uid long, n long, shingles binary")
     found = keep(units.groupBy("unit").applyInArrow(lambda t: _search(t, num, den), "uid long, links long, near long"), f"{at}/found")
 
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
