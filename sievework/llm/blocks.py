@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, row_id, wide
+from .shared import keep, release, row_id, slices, wide
 
 #: Bytes of text in a block. A larger corpus should have larger blocks: fewer, longer arrays.
 BLOCK_BYTES = 3 << 20
@@ -58,7 +58,7 @@ def stage(docs: DataFrame, path: str, id_col: str, text_col: str, block_bytes: i
             row = {"block": part | made, "ids": np.array(ids, dtype=np.int64).tobytes(), "sizes": sizes.tobytes(), "body": zip_.compress(b"".join(texts))}
             return pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())]))
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 b = t.as_py() or b""
                 if texts and (size + len(b) > block_bytes or len(texts) >= 1 << PLACE_BITS - 1):
@@ -76,10 +76,13 @@ def stage(docs: DataFrame, path: str, id_col: str, text_col: str, block_bytes: i
 
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:
     """The blocks of a task one by one, with the row's other columns."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-            yield Block(row), row
+    try:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                yield Block(row), row
+    finally:
+        release()
 
 
 def ranges(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 #: White space as the tokenizer's pattern has it (Unicode's property of that name).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Bytes that are encoded without a further split.
@@ -203,7 +205,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         words = list(map(str, range(max(c.tree.bytes_of) + 1)))
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, text_sha, all_ids = [], [], [], []
             for text in batch.column(1):
                 ids = c.encode(text.as_py() or "")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 #: Pages that the classifier learns from, about.
 SAMPLE = 400
 #: Smoothness of neighbours, and of siblings that aren't neighbours.
@@ -334,7 +336,7 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> np.nd
     share = min(1 << 20, -(-sample * (1 << 20) // max(1, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in batch.column(0):
                 for b in blocks_of(t.as_py() or ""):
@@ -370,7 +372,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     weights = fit(pages, html_col, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(t.as_py() or "", weights) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row_id", "row_url", "text", "n_chars"])
 

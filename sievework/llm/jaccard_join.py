@@ -131,7 +131,7 @@ def _lists(table: pa.Table, num: int, den: int, n_ranges: int) -> pa.Table:
         fewest = np.minimum((num * n[i] + den - 1) // den, SHARE)
         weights.append(np.full(len(i), SHARE, dtype=np.uint8) if sure else (-(-SHARE // fewest)).astype(np.uint8))
         held += len(i)
-        if held > 2_000_000:
+        if held > 600_000:
             p, w = _weigh(pairs, weights)
             pairs, weights, held = [p], [w], 0
 

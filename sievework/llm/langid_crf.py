@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .wordscan import mix
+from .shared import slices
 
 #: Documents of each language that are learned from, about.
 SAMPLE = 500
@@ -283,7 +284,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             pred, score = crf.documents(texts) if crf else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])

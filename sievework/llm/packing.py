@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, shared_folder
+from .shared import keep, shared_folder, slices
 
 #: Pieces of a group, about. The last bins of a group may be underfull, so larger groups pack better.
 GROUP = 60_000
@@ -200,7 +200,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 204
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + b"\0\0\0\0"

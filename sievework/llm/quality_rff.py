@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 #: Random Fourier features.
 FEATURES = 256
 #: Labelled rows that are learned from, about; a quarter of them calibrate.
@@ -111,7 +113,7 @@ def _sums(df: DataFrame, made, size: int) -> np.ndarray | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x = np.array(batch.column(0).to_pylist())
                 got = made(x, batch.column(1).to_numpy(zero_copy_only=False).astype(float), batch.column(2).to_numpy(zero_copy_only=False))
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = known.join(F.broadcast(chosen), "id").select("text", "y", (F.pmod(F.xxhash64("id", F.lit(6)), F.lit(4)) == 0).alias("part"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([statistics(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "part"])
 
     x = rows.mapInArrow(measured, "x array<double>, y double, part boolean").persist()
@@ -196,7 +198,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             if m is None or not batch.num_rows:
                 s = np.full(batch.num_rows, 0.5)
             else:
