@@ -60,7 +60,7 @@ def sweep(df: DataFrame, key: str, correct: str = "correct", descending: bool =
     running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = grouped.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
     totals = grouped.agg(F.sum("n").alias("total"), F.sum("good").alias("all_good"))
-    pct = F.explode(F.array(*map(F.lit, percents))).alias("percent")
+    pct = F.explode_outer(F.array(*map(F.lit, percents))).alias("percent")
     cuts = totals.select("*", pct).withColumn("keep", F.bround(F.col("total") * F.col("percent") / 100, 0).cast("long"))
     # a value that the cut divides counts by its share
     part = F.greatest(F.least(F.col("keep") - F.col("before"), F.col("n")), F.lit(0))
@@ -95,7 +95,7 @@ def summary(scored: DataFrame) -> DataFrame:
 
 def dimension_stats(scored: DataFrame, columns: tuple[str, ...] = ("quality_score", *SHOWN)) -> DataFrame:
     """One row per score: average, least, largest and the share of 80 or more. One pass over the rows."""
-    long = scored.select(F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("double").alias("v")) for c in columns))).alias("s"))
+    long = scored.select(F.explode_outer(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("double").alias("v")) for c in columns))).alias("s"))
     return long.groupBy("s.dimension").agg(F.avg("s.v").alias("avg"), F.min("s.v").alias("min"), F.max("s.v").alias("max"), (F.count_if(F.col("s.v") >= 80) * 100.0 / F.count("*")).alias("pct_80"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def unpivot(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (keep..., dimension, v) for each of ``columns``."""
     parts = F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("double").alias("v")) for c in columns))
-    return df.select(*keep, F.explode(parts).alias("_s")).select(*keep, "_s.dimension", "_s.v")
+    return df.select(*keep, F.explode_outer(parts).alias("_s")).select(*keep, "_s.dimension", "_s.v")
 
 
 def auc(long: DataFrame, by: tuple[str, ...] = ("dimension",), value: str = "v", correct: str = "correct") -> DataFrame:
@@ -52,7 +52,7 @@ def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFra
 
 def with_all(df: DataFrame, by: str) -> DataFrame:
     """``df`` twice: under its own ``by`` and under ALL, as ranks differ between the two."""
-    return df.withColumn(by, F.explode(F.array(F.col(by), F.lit("ALL"))))
+    return df.withColumn(by, F.explode_outer(F.array(F.col(by), F.lit("ALL"))))
 
 
 def fit_knots(df: DataFrame, column: str = "raw_score") -> DataFrame:
@@ -89,7 +89,7 @@ def discordant_pairs(df: DataFrame, columns: tuple[str, ...], problem: str = "pr
     """For problems with one right and one wrong row: how often the right one scores higher, ties left out."""
     pairs = df.groupBy(problem).agg(F.count("*").alias("n"), F.count_if(correct).alias("good"), *(F.max(F.when(F.col(correct), F.col(c))).alias(f"g_{c}") for c in columns), *(F.max(F.when(~F.col(correct), F.col(c))).alias(f"b_{c}") for c in columns)).filter("n = 2 and good = 1")
     rows = F.array(*(F.struct(F.lit(c).alias("signal"), F.col(f"g_{c}").cast("double").alias("g"), F.col(f"b_{c}").cast("double").alias("b")) for c in columns))
-    long = pairs.select(F.explode(rows).alias("s"))
+    long = pairs.select(F.explode_outer(rows).alias("s"))
     return long.groupBy("s.signal").agg(F.count_if(F.col("s.g") > F.col("s.b")).alias("wins"), F.count_if(F.col("s.g") < F.col("s.b")).alias("losses"), F.count_if(F.col("s.g") == F.col("s.b")).alias("ties"))
 
 

@@ -133,7 +133,7 @@ _LONG = " UNION ALL ".join(f"SELECT id, '{d.name}' AS name, {o.r4(d.column)} AS
 
 @query("q_dim_12_detailed", o.over_scored(f"SELECT id, name, score, weight::DOUBLE AS weight FROM ({_LONG})"))
 def detailed_(spark: SparkSession, sf: str) -> DataFrame:
-    return score_detailed(traces(spark, sf)).select("id", F.explode("scores").alias("s")).select("id", "s.name", r4(F.col("s.score")).alias("score"), r4(F.col("s.weight")).alias("weight"))
+    return score_detailed(traces(spark, sf)).select("id", F.explode_outer("scores").alias("s")).select("id", "s.name", r4(F.col("s.score")).alias("score"), r4(F.col("s.weight")).alias("weight"))
 
 
 @query("q_txt_28_bands", o.over_scored("SELECT id, CASE WHEN quality_score < 50 THEN 'red' WHEN quality_score < 75 THEN 'amber' ELSE 'green' END AS band FROM scored"))
