@@ -39,45 +39,41 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _columns(name: str, source: str, spark_cols: dict[str, Column], sql_cols: dict[str, str], keys: tuple[str, ...] = ("id",)) -> None:
+def _columns(name: str, source: str, spark_cols: Callable[[], dict[str, Column]], sql_cols: dict[str, str], keys: tuple[str, ...] = ("id",)) -> None:
     """A query of columns over the traces; ``source`` names the CTE they come from."""
     sql = o.over_scored(f"SELECT {', '.join([*keys, *(f'{v} AS {k}' for k, v in sql_cols.items())])} FROM {source}")
-    query(name, sql)(lambda spark, sf: traces(spark, sf).withColumn("x", t.extract_thinking(F.col("thinking"))).withColumn("low", F.lower("x")).withColumn("h", F.col("low").cast("binary")).select(*keys, *(v.alias(k) for k, v in spark_cols.items())))
-
-
-_x, _low, _h = F.col("x"), F.col("low"), F.col("h")
+    query(name, sql)(lambda spark, sf: traces(spark, sf).withColumn("x", t.extract_thinking(F.col("thinking"))).withColumn("low", F.lower("x")).withColumn("h", F.col("low").cast("binary")).select(*keys, *(v.alias(k) for k, v in spark_cols().items())))
 
 
 def _texts() -> None:
     c = _columns
-    c("q_txt_1_extract", "s1", {"x": _x}, {"x": "x"})
-    c("q_txt_2_tokens", "s2", {"n": t.token_count(_x)}, {"n": "tok"})
-    c("q_txt_3_cjk", "s1", {"cjk": F.regexp_like(_x, F.lit(t.CJK))}, {"cjk": "regexp_matches(x, '[㐀-䶿一-鿿぀-ヿ가-힯]')"})
-    c("q_txt_4_boundary", "s2", {"cut": t.byte_slice(_h, F.lit(7), F.lit(40))}, {"cut": o.cut("h", "least(7, len)", "least(40, len)")})
-    c("q_txt_5_normalize", "s1", {"n": t.normalize(_x)}, {"n": o.normal("x")})
-    c("q_txt_6_sentences", "s3", {"n": F.size(t.sentences(_x)), "first": F.get(F.transform(t.sentences(_x), t.normalize), F.lit(0))}, {"n": "len(sents)::INT", "first": "sents[1]"})
-    c("q_txt_7_paragraphs", "s3", {"n": F.size(t.paragraphs(_x)), "all": F.array_join(t.paragraphs(_x), "|")}, {"n": "len(paras)::INT", '"all"': "coalesce(array_to_string(paras, '|'), '')"})
-    c("q_txt_8_no_code", "s3", {"p": t.without_code(_x)}, {"p": "plain_"})
-    c("q_txt_9_chunks", "s3", {"n": F.size(t.chunks(t.without_code(_x), 10)), "lens": F.array_join(F.transform(t.chunks(t.without_code(_x), 10), F.char_length), ",")}, {"n": "CAST(least(10, length(plain_)) AS INT)", "lens": "coalesce(array_to_string(list_transform(range(least(10, length(plain_))), lambda i: CASE WHEN i + 1 = least(10, length(plain_)) THEN length(plain_) - i * (length(plain_) // least(10, length(plain_))) ELSE length(plain_) // least(10, length(plain_)) END), ','), '')"})
-    c("q_txt_10_tail", "s3", {"s": t.tail(_h)}, {"s": "tail"})
-    c("q_txt_11_final", "s3", {"s": t.final(_h)}, {"s": "fin"})
-    c("q_txt_12_windows", "s3", {"late": t.late(_h), "mid": t.middle(_h)}, {"late": "late", "mid": "mid"})
-    c("q_txt_13_counts", "s4", {"strong": t.count_phrases(_low, lexicon.STRONG), "weak": t.count_phrases(_low, lexicon.WEAK)}, {"strong": "strong", "weak": "weak"})
-    c("q_txt_14_presence", "s4", {"n": t.distinct_phrases(t.tail(_h), lexicon.CONCLUSIONS)}, {"n": "concl"})
-    th, an = t.split_completion(F.col("thinking"))
-    c("q_txt_15_completion", "s1", {"t": th, "a": an}, {"t": "CASE WHEN contains(thinking, '<think>') THEN x ELSE '' END", "a": o.trim("regexp_replace(thinking, '(?s)^.*</think>', '')")})
-    c("q_txt_16_answer", "s1", {"a": t.normalize_answer(F.col("answer")), "e": t.normalize_answer(F.col("expected_answer"))}, {"a": o.answer("answer"), "e": o.answer("expected_answer")})
-    c("q_txt_17_match", "s5", {"same": t.answers_match(F.col("answer"), F.col("expected_answer"))}, {"same": "accurate"})
-    reply = F.concat(F.lit("I rate it "), F.col("problem_id") % 7, F.lit(". Score: "), F.col("problem_id") % 130, F.when(F.col("problem_id") % 3 == 0, F.lit(".5 of 100")).otherwise(F.lit("/100")))
+    c("q_txt_1_extract", "s1", lambda: {"x": F.col("x")}, {"x": "x"})
+    c("q_txt_2_tokens", "s2", lambda: {"n": t.token_count(F.col("x"))}, {"n": "tok"})
+    c("q_txt_3_cjk", "s1", lambda: {"cjk": F.regexp_like(F.col("x"), F.lit(t.CJK))}, {"cjk": "regexp_matches(x, '[㐀-䶿一-鿿぀-ヿ가-힯]')"})
+    c("q_txt_4_boundary", "s2", lambda: {"cut": t.byte_slice(F.col("h"), F.lit(7), F.lit(40))}, {"cut": o.cut("h", "least(7, len)", "least(40, len)")})
+    c("q_txt_5_normalize", "s1", lambda: {"n": t.normalize(F.col("x"))}, {"n": o.normal("x")})
+    c("q_txt_6_sentences", "s3", lambda: {"n": F.size(t.sentences(F.col("x"))), "first": F.get(F.transform(t.sentences(F.col("x")), t.normalize), F.lit(0))}, {"n": "len(sents)::INT", "first": "sents[1]"})
+    c("q_txt_7_paragraphs", "s3", lambda: {"n": F.size(t.paragraphs(F.col("x"))), "all": F.array_join(t.paragraphs(F.col("x")), "|")}, {"n": "len(paras)::INT", '"all"': "coalesce(array_to_string(paras, '|'), '')"})
+    c("q_txt_8_no_code", "s3", lambda: {"p": t.without_code(F.col("x"))}, {"p": "plain_"})
+    c("q_txt_9_chunks", "s3", lambda: {"n": F.size(t.chunks(t.without_code(F.col("x")), 10)), "lens": F.array_join(F.transform(t.chunks(t.without_code(F.col("x")), 10), F.char_length), ",")}, {"n": "CAST(least(10, length(plain_)) AS INT)", "lens": "coalesce(array_to_string(list_transform(range(least(10, length(plain_))), lambda i: CASE WHEN i + 1 = least(10, length(plain_)) THEN length(plain_) - i * (length(plain_) // least(10, length(plain_))) ELSE length(plain_) // least(10, length(plain_)) END), ','), '')"})
+    c("q_txt_10_tail", "s3", lambda: {"s": t.tail(F.col("h"))}, {"s": "tail"})
+    c("q_txt_11_final", "s3", lambda: {"s": t.final(F.col("h"))}, {"s": "fin"})
+    c("q_txt_12_windows", "s3", lambda: {"late": t.late(F.col("h")), "mid": t.middle(F.col("h"))}, {"late": "late", "mid": "mid"})
+    c("q_txt_13_counts", "s4", lambda: {"strong": t.count_phrases(F.col("low"), lexicon.STRONG), "weak": t.count_phrases(F.col("low"), lexicon.WEAK)}, {"strong": "strong", "weak": "weak"})
+    c("q_txt_14_presence", "s4", lambda: {"n": t.distinct_phrases(t.tail(F.col("h")), lexicon.CONCLUSIONS)}, {"n": "concl"})
+    c("q_txt_15_completion", "s1", lambda: {"t": t.split_completion(F.col("thinking"))[0], "a": t.split_completion(F.col("thinking"))[1]}, {"t": "CASE WHEN contains(thinking, '<think>') THEN x ELSE '' END", "a": o.trim("regexp_replace(thinking, '(?s)^.*</think>', '')")})
+    c("q_txt_16_answer", "s1", lambda: {"a": t.normalize_answer(F.col("answer")), "e": t.normalize_answer(F.col("expected_answer"))}, {"a": o.answer("answer"), "e": o.answer("expected_answer")})
+    c("q_txt_17_match", "s5", lambda: {"same": t.answers_match(F.col("answer"), F.col("expected_answer"))}, {"same": "accurate"})
+    reply = lambda: F.concat(F.lit("I rate it "), F.col("problem_id") % 7, F.lit(". Score: "), F.col("problem_id") % 130, F.when(F.col("problem_id") % 3 == 0, F.lit(".5 of 100")).otherwise(F.lit("/100")))
     reply_sql = "('I rate it ' || (problem_id % 7)::VARCHAR || '. Score: ' || (problem_id % 130)::VARCHAR || CASE WHEN problem_id % 3 = 0 THEN '.5 of 100' ELSE '/100' END)"
     num = lambda s: f"list_filter(list_transform(regexp_extract_all({s}, '[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+'), lambda v: TRY_CAST(regexp_replace(v, '\\.$', '') AS DOUBLE)), lambda v: v BETWEEN 0 AND 100)[1]"
-    c("q_txt_18_judge_score", "s1", {"s": t.judge_score(reply)}, {"s": f"coalesce({num(f'substr(lower({reply_sql}), strpos(lower({reply_sql}), {o.q('score')}) + 5)')}, {num(f'lower({reply_sql})')})"})
-    c("q_txt_20_head_tail", "s1", {"s": t.head_tail(_x, 1200, 600, 400)}, {"s": "CASE WHEN length(x) > 1200 THEN left(x, 600) || chr(10) || '[...]' || chr(10) || right(x, 400) ELSE x END"})
-    c("q_txt_22_dataset", "s1", {"d": t.dataset_of(F.concat(F.col("source"), F.lit("_x_"), F.col("id")))}, {"d": "regexp_replace(source || '_x_' || id, '_[^_]*$', '')"})
-    c("q_txt_25_escape", "s1", {"e": t.escape_html(F.concat(F.lit("<b>&"), F.col("problem"))), "s": t.slug(F.col("problem"))}, {"e": "replace(replace(replace('<b>&' || problem, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')", "s": "regexp_replace(problem, '[^A-Za-z0-9.-]', '_', 'g')"})
-    c("q_txt_26_preview", "s1", {"p": F.left("thinking", F.lit(500))}, {"p": "left(thinking, 500)"})
-    c("q_txt_27_cost", "s2", {"usd": F.round(t.token_count(_x) / F.lit(1e6) * F.lit(3.0), 8)}, {"usd": "round(tok / 1e6::DOUBLE * 3.0::DOUBLE, 8)"})
-    c("q_txt_24_index", "s2", {"points": F.char_length(t.byte_slice(_h, F.lit(0), F.least(F.octet_length(_h), F.lit(100))))}, {"points": f"length({o.cut('h', '0', 'least(len, 100)')})::INT"})
+    c("q_txt_18_judge_score", "s1", lambda: {"s": t.judge_score(reply())}, {"s": f"coalesce({num(f'substr(lower({reply_sql}), strpos(lower({reply_sql}), {o.q('score')}) + 5)')}, {num(f'lower({reply_sql})')})"})
+    c("q_txt_20_head_tail", "s1", lambda: {"s": t.head_tail(F.col("x"), 1200, 600, 400)}, {"s": "CASE WHEN length(x) > 1200 THEN left(x, 600) || chr(10) || '[...]' || chr(10) || right(x, 400) ELSE x END"})
+    c("q_txt_22_dataset", "s1", lambda: {"d": t.dataset_of(F.concat(F.col("source"), F.lit("_x_"), F.col("id")))}, {"d": "regexp_replace(source || '_x_' || id, '_[^_]*$', '')"})
+    c("q_txt_25_escape", "s1", lambda: {"e": t.escape_html(F.concat(F.lit("<b>&"), F.col("problem"))), "s": t.slug(F.col("problem"))}, {"e": "replace(replace(replace('<b>&' || problem, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')", "s": "regexp_replace(problem, '[^A-Za-z0-9.-]', '_', 'g')"})
+    c("q_txt_26_preview", "s1", lambda: {"p": F.left("thinking", F.lit(500))}, {"p": "left(thinking, 500)"})
+    c("q_txt_27_cost", "s2", lambda: {"usd": F.round(t.token_count(F.col("x")) / F.lit(1e6) * F.lit(3.0), 8)}, {"usd": "round(tok / 1e6::DOUBLE * 3.0::DOUBLE, 8)"})
+    c("q_txt_24_index", "s2", lambda: {"points": F.char_length(t.byte_slice(F.col("h"), F.lit(0), F.least(F.octet_length(F.col("h")), F.lit(100))))}, {"points": f"length({o.cut('h', '0', 'least(len, 100)')})::INT"})
 
 
 _texts()
