@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators.score import score
 from ..operators.select import dimension_stats, top_percent
-from . import more
+from . import more, sourced
 from .core import QUERIES, SQL
 from .traces import traces
 
-__all__ = ["QUERIES", "SQL", "flagship", "more"]
+__all__ = ["QUERIES", "SQL", "flagship", "more", "sourced"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,24 +35,25 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     df = lines.withColumn(column, F.trim(F.regexp_replace(column, r"^\s+|\s+$", ""))).filter(F.col(column) != "")
     df = df.withColumn("_v", F.try_parse_json(column)).withColumn("_keys", F.json_object_keys(column)).withColumn("_raw", F.from_json(column, "map<string,string>"))
-    fields, faults = {}, [F.when(F.col("_v").isNull() | F.col("_keys").isNull(), F.lit("not a JSON object"))]
+    staged = {}
     for field, names in ALIASES.items():
-        present = F.array_intersect("_keys", F.array(*map(F.lit, names)))
-        value = F.coalesce(*(_value(n) for n in names))
-        kind = F.coalesce(*(F.when(F.array_contains("_keys", n), _kind(n)) for n in names))
-        if field == "id":
-            # a number keeps its own spelling
-            value = F.coalesce(*(F.when(F.array_contains("_keys", n), F.element_at("_raw", n)) for n in names))
-        faults.append(F.when(F.size(present) > 1, F.lit(f"several names for {field}")))
+        staged[f"_n_{field}"] = F.size(F.array_intersect("_keys", F.array(*map(F.lit, names))))
+        staged[f"_k_{field}"] = F.coalesce(*(F.when(F.array_contains("_keys", n), _kind(n)) for n in names))
+        # an id that is a number keeps its own spelling
+        staged[f"_f_{field}"] = F.coalesce(*((F.when(F.array_contains("_keys", n), F.element_at("_raw", n)) if field == "id" else _value(n)) for n in names))
+    df = df.withColumns(staged)
+    faults = [F.when(F.col("_v").isNull() | F.col("_keys").isNull(), F.lit("not a JSON object"))]
+    for field in ALIASES:
+        n, kind = F.col(f"_n_{field}"), F.col(f"_k_{field}")
+        faults.append(F.when(n > 1, F.lit(f"several names for {field}")))
         if field in REQUIRED:
-            faults.append(F.when(F.size(present) == 0, F.lit(f"no {field}")))
+            faults.append(F.when(n == 0, F.lit(f"no {field}")))
             good = kind == "STRING" if field != "id" else kind.isin("STRING", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
         else:
             good = F.coalesce(kind, F.lit("VOID")).isin("STRING", "VOID")
         faults.append(F.when(~good, F.lit(f"{field} has a wrong type")))
-        fields[field] = value
     extra = F.map_filter(F.coalesce("_raw", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*KNOWN))
-    return df.select(*(v.alias(k) for k, v in fields.items()), extra.alias("extra"), F.coalesce(*faults).alias("problem_found"), F.col(column).alias("line"))
+    return df.select(*(F.col(f"_f_{k}").alias(k) for k in ALIASES), extra.alias("extra"), F.coalesce(*faults).alias("problem_found"), F.col(column).alias("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
