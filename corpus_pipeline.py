@@ -1,13 +1,16 @@
 """A corpus pipeline over the documents table: five stages, each of which works on what the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``docs``. Rows without an id pass the two dedup stages, which name documents by their ids.
+``docs``. The two dedup stages number the rows first, so null and repeated ids name no row twice; rows without
+an id count as smaller than all others, as in the operators.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import langid_crf
@@ -15,7 +18,7 @@ from sievework.llm.exact_dedup import exact_dedup
 from sievework.llm.jaccard_join import jaccard_join
 from sievework.llm.packing import pack_documents
 from sievework.llm.pii_boost import redact_pii
-from sievework.llm.shared import keep, shared_folder, small
+from sievework.llm.shared import join_skewed, keep, shared_folder, small
 from sievework.ship import ship
 
 #: Share of words that must be expected in one language; switched text of three even languages still passes.
@@ -32,21 +35,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return stays.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
+def _numbered(docs: DataFrame, at: str) -> DataFrame:
+    """``docs``, written, with ``_row``: a number of its own for each row, whatever its id is."""
+    return keep(docs.withColumn("_row", F.monotonically_increasing_id()), f"{at}/rows", compression="zstd")
+
+
+def _without(rows: DataFrame, groups: DataFrame, pick: Callable[[Column], Column], at: str) -> DataFrame:
+    """``rows`` less all but one of each group: ``pick`` chooses by id, then number; rows without an id count as smallest.
+
+    ``groups``: (_row, grp) of the rows that share a group with others.
+    """
+    named = keep(groups.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row"), f"{at}/named")
+    stays = keep(named.groupBy("grp").agg(pick(F.struct("_id", "_row")).getField("_row").alias("stays"), F.count("*").alias("size")), f"{at}/stays")
+    gone = keep(join_skewed(named, stays, ["grp"], "size", named.count()).filter("_row <> stays").select("_row"), f"{at}/gone")
+    return rows.join(small(gone), "_row", "left_anti").drop("_row")
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts, the one with the largest id."""
     ship(spark)
-    found = exact_dedup(docs)
-    gone = keep(found.filter(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("_sha")), f"{shared_folder(spark, 'copies')}/gone")
-    marked = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    return marked.join(small(gone), ["doc_id", "_sha"], "left_anti").select(docs.columns)
+    at = shared_folder(spark, "copies")
+    rows = _numbered(docs, at)
+    found = exact_dedup(rows, "_row").filter("group_size > 1")
+    return _without(rows, found.select("_row", F.col("keep_id").alias("grp")), F.max, at).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links connect, the one with the smallest id."""
+    """Keeps one row of each group that links connect, the one with the smallest id."""
     ship(spark)
-    found = jaccard_join(docs)
-    gone = keep(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id"), f"{shared_folder(spark, 'near')}/gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    at = shared_folder(spark, "near")
+    rows = _numbered(docs, at)
+    found = jaccard_join(rows, "_row").filter("n_similar > 0")
+    return _without(rows, found.select("_row", F.col("component_id").alias("grp")), F.min, at).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
