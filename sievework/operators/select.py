@@ -44,6 +44,12 @@ def top_percent(scored: DataFrame, percent: float, **limits: float | None) -> Da
     return passed.orderBy(F.desc("quality_score"), "id").limit(k)
 
 
+def ranked(scored: DataFrame) -> DataFrame:
+    """(id, n): the place of every row by quality, ties by id. A range sort; each partition counts on from the sizes of those before it."""
+    rows = scored.orderBy(F.desc("quality_score"), "id").select("id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    return scored.sparkSession.createDataFrame(rows, "id string, n long")
+
+
 def removed(scored: DataFrame, min_score: float = 70.0) -> DataFrame:
     """One row: how many rows the threshold removes, and what per cent."""
     gone = F.count_if(F.col("quality_score") < min_score)

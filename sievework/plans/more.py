@@ -59,6 +59,7 @@ on_scored("q_agg_5_report_dimensions", "SELECT dimension, CASE WHEN avg(v) >= 80
 on_scored("q_agg_17_knots", "SELECT p::INT AS p, round(ks[p + 1], 4) AS knot FROM (SELECT quantile_cont(raw_score::DOUBLE, [" + ", ".join(str(p / 100) for p in range(101)) + "]) AS ks FROM scored), range(101) t(p)", lambda s: stats.fit_knots(s).select("p", F.round("knot", 4).alias("knot")))
 on_scored("q_agg_18_at_least_70", "SELECT round(avg((raw_score >= 70)::INT), 6) AS share FROM scored", lambda s: s.agg(F.round(F.avg((F.col("raw_score") >= 70).cast("int")), 6).alias("share")))
 on_scored("q_srt_1_order", "SELECT id, row_number() OVER (ORDER BY quality_score DESC, id) AS n FROM scored ORDER BY n LIMIT 100", lambda s: s.orderBy(F.desc("quality_score"), "id").limit(100).withColumn("n", F.row_number().over(Window.orderBy(F.desc("quality_score"), "id")).cast("long")).select("id", "n"))
+on_scored("q_srt_1_full", "SELECT id, row_number() OVER (ORDER BY quality_score DESC, id) AS n FROM scored", select.ranked)
 _IS = " || ".join(f"CASE WHEN {c} < {k} THEN '{c.removesuffix('_score')},' ELSE '' END" for c, k in select.ISSUES.items())
 on_scored("q_srt_2_worst", f"SELECT id, {o.r4('quality_score')} AS q, rtrim({_IS}, ',') AS issues, left(thinking, 500) AS preview FROM scored ORDER BY quality_score, id LIMIT 10", lambda s: select.worst(s).select("id", r4(F.col("quality_score")).alias("q"), F.array_join("issues", ",").alias("issues"), "preview"))
 on_scored("q_srt_8_lowest", "SELECT id, left(replace(thinking, chr(10), ' '), 280) AS preview FROM scored ORDER BY quality_score, id LIMIT 3", lambda s: s.orderBy("quality_score", "id").limit(3).select("id", F.left(F.replace(F.col("thinking"), F.lit("\n"), F.lit(" ")), F.lit(280)).alias("preview")))
