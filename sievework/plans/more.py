@@ -94,8 +94,8 @@ on_labelled("q_win_1_ranks", "SELECT id, rank() OVER (ORDER BY raw_score) + (cou
 on_labelled("q_agg_21_pairs", "SELECT signal, count(*) FILTER (g > b) AS wins, count(*) FILTER (g < b) AS losses, count(*) FILTER (g = b) AS ties FROM pr GROUP BY 1", lambda d: stats.discordant_pairs(d, _ALL), "pp AS (SELECT problem_id, count(*) AS n, count(*) FILTER (correct) AS good, " + ", ".join(f"max(CASE WHEN correct THEN {c} END) AS g_{c}, max(CASE WHEN NOT correct THEN {c} END) AS b_{c}" for c in _ALL) + " FROM lab GROUP BY 1 HAVING count(*) = 2 AND count(*) FILTER (correct) = 1), pr AS (" + " UNION ALL ".join(f"SELECT '{c}' AS signal, g_{c} AS g, b_{c} AS b FROM pp" for c in _ALL) + ")")
 on_labelled("q_agg_22_standardize", "SELECT id, round((raw_score - avg(raw_score) OVER ()) / CASE WHEN stddev_pop(raw_score) OVER () > 0 THEN stddev_pop(raw_score) OVER () ELSE 1 END, 4) AS z FROM lab", lambda d: stats.standardized(d.select("id", "raw_score"), ("raw_score",)).select("id", F.round("raw_score", 4).alias("z")))
 on_labelled("q_agg_26_label_stats", "SELECT model, count(*) AS n, round(avg(correct::INT) * 100, 4) AS pct FROM lab GROUP BY 1", lambda d: d.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")) * 100, 4).alias("pct")))
-query("q_agg_19_bootstrap")(lambda spark, sf: stats.bootstrap_auc(labelled(spark, sf), "quality_score", replicates=100))
-query("q_agg_20_paired_bootstrap")(lambda spark, sf: stats.bootstrap_auc(labelled(spark, sf).withColumn("length", -F.col("thinking_word_count").cast("double")), "quality_score", replicates=100, other="length"))
+query("q_agg_19_bootstrap")(lambda spark, sf: stats.bootstrap_auc(labelled(spark, sf), "quality_score", replicates=2000))
+query("q_agg_20_paired_bootstrap")(lambda spark, sf: stats.bootstrap_auc(labelled(spark, sf).withColumn("length", -F.col("thinking_word_count").cast("double")), "quality_score", replicates=2000, other="length"))
 query("q_agg_23_logistic")(lambda spark, sf: stats.logistic_by_group(labelled(spark, sf), "model", SHOWN))
 
 # spans
