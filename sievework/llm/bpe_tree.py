@@ -5,7 +5,7 @@ merging the adjacent pair of lowest rank. Two encodings are joined by re-encodin
 tokens around their boundary, which doubles until the tokens at its edges are compatible with
 their outer neighbours. Two tokens are compatible if their joined bytes encode to just these two;
 a sequence all of whose neighbours are compatible is the encoding of its bytes, so tokens outside
-the window can't change any more. Decoding concatenates up the same tree.
+the window can't change any more. Decoding is one flat join of the tokens' bytes.
 """
 
 from __future__ import annotations
