@@ -1,9 +1,10 @@
-"""Exact dedup by an extendible-hash index on shared files.
+"""Exact dedup by an extendible-hash index.
 
 The index maps a 64-bit hash of the text to a chain of different texts. Its directory is
 addressed by the hash's leading bits and doubles until no bucket holds more keys than its
-capacity. Buckets are ranges of keys; the task that owns a bucket reads it in key order, chains
-texts that share a key and compares their bytes.
+capacity. Buckets are ranges of keys, but no files: a task owns a hash slice of a bucket's keys,
+which reach it by a shuffle. It takes them in key order, chains texts that share a key and compares
+their bytes. Up to CAPACITY shared keys there is one bucket.
 
 Only keys that two rows share are ever resolved: a first pass writes hashes alone, a second
 sends just the texts of shared keys, one per map task and text, to their owners. So a text that
