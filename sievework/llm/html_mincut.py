@@ -1,13 +1,15 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes a row of text blocks. A logistic classifier gives each block the costs of calling it
-content or boilerplate; these are its capacities to the two terminals. Neighbours in page order and
-blocks near each other in the DOM are joined by smoothness edges. The minimum cut separates content
-from boilerplate. Blocks whose own costs outweigh all their edges are settled before, which leaves
-the cut unchanged and most pages without a flow to compute.
-
-The classifier learns how content reads from blocks in a bounded sample of pages that stand in
-elements whose meaning is plain; what an element is called adds to that.
+A page becomes a graph. Its nodes are the text blocks and those elements that hold several blocks or whose
+name says what they are (regions). A logistic classifier gives each block the costs of calling it content or
+boilerplate by how it reads; a region has such costs by its name. These costs are bounded and become the
+capacities to the two terminals. Neighbours in page order are joined by smoothness edges, and so are a block
+and the element that holds it, and an element and the one around it. The minimum cut separates content from
+boilerplate: a region's name reaches its blocks only through the edges, and what reads unlike its region may
+be cut off from it.
+
+The classifier learns how content reads from blocks in a bounded sample of pages that stand in regions whose
+name is plain. Names are no features of it.
 """
 
 from __future__ import annotations
@@ -27,53 +29,76 @@ from .shared import slices
 
 #: Pages that the classifier learns from, about.
 SAMPLE = 400
-#: Smoothness of neighbours, and of siblings that aren't neighbours.
-NEXT, SIBLING = 1.2, 0.6
+#: Most that a block's reading may speak for content, and against it if no part of it is linked and if all is.
+CONTENT, PLAIN, LINKED = 2.0, 1.0, 2.0
+#: What a region's name costs for each block it holds: a plain name, and a class name that often stands around content.
+NAMED, HINTED = 3.0, 1.5
+#: Smoothness of neighbours, less by half for each level between them.
+NEXT = 0.8
+#: Edge of a block to its region (in one that its name speaks for, of its part that isn't linked), and to the innermost element that holds it and others.
+HOLD, LOOSE = 3.0, 0.9
+#: Edge of an element to the one around it: at a region's border, within it, where there is none, and in a region whose parts are never content.
+BORDER, TIE, FREE, FIRM = 0.5, 4.0, 2.0, 1000.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math textarea title canvas audio video xmp noembed noframes".split())
+_RAW = frozenset("script style template iframe textarea title canvas audio video xmp noembed noframes annotation annotation-xml".split())
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _CLOSES = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split()), "option": frozenset("option".split())}
 _CLOSES_P = _BLOCK - {"button", "label", "option", "optgroup", "legend", "summary"}
 _SCOPE = frozenset("article section div td th table ul ol dl body html nav aside main header footer form blockquote".split())
-_OUT = frozenset("nav footer aside form menu button select option label fieldset dialog head search".split())
+_OUT = frozenset("nav aside menu button select option label fieldset dialog head search header footer".split())
 _IN = frozenset("article main".split())
-_OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|foot|footer|head|header|masthead|side|sidebar|rail|ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comment|comments|disqus|reply|replies|respond|discussion|breadcrumb\w*|widget|copyright|legal|pager|pagination|toolbar|tagcloud|skip|search|form|hidden)(?=$|[\s_\-0-9])", re.I)
-_IN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|post|entry|story|maintext|body|text|main)(?=$|[\s_\-0-9])", re.I)
-_OUT_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar form dialog alert alertdialog toolbar".split())
+_word = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?=$|[\s_\-0-9])", re.I)
+_OUT_NAMES = _word(r"nav|navbar|navigation|menu|foot|footer|sidebar|ad|ads|adv|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comment|comments|disqus|reply|replies|respond|discussion|breadcrumb\w*|copyright|legal|pager|pagination|toolbar|tagcloud|skip")
+_SOFT_NAMES = _word(r"head|header|masthead|side|rail|banner|widget|search|form|hidden")
+_IN_NAMES = _word(r"article|articlebody|content|post|entry|story|maintext|body|text|main")
+_OUT_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog toolbar".split())
+#: Regions: nothing in them is content; their name speaks against it; no name; for it by a class name; for it.
+OUT, AGAINST, NONE, HINT, IN = -2, -1, 0, 1, 2
 _ENDS = (".", "!", "?", "。", "”", '"', ":", "…")
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "inside", "outside", "number", "link")
+    __slots__ = ("name", "parent", "depth", "number", "link", "region", "border")
 
     def __init__(self, name: str, parent: Element | None, attrs: str, number: int):
         self.name, self.parent, self.number = name, parent, number
         self.depth = parent.depth + 1 if parent else 0
-        self.inside = parent.inside if parent else 0
-        self.outside = parent.outside if parent else 0
         self.link = name == "a" or bool(parent and parent.link)
-        inside, outside = name in _IN, name in _OUT or (name == "header" and not self.inside)
-        if attrs:
-            for key, a, b, c in _ATTR.findall(attrs):
-                value, key = (a or b or c).strip().lower(), key.lower()
-                if key in ("class", "id"):
-                    outside |= bool(_OUT_NAMES.search(value))
-                    inside |= bool(_IN_NAMES.search(value)) and not outside
-                elif key == "role":
-                    outside |= value in _OUT_ROLES
-                    inside |= value in ("main", "article")
-                elif key == "itemprop":
-                    inside |= value == "articlebody"
-                elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                    outside = True
-        # what is closest to the text counts
-        if outside:
-            self.outside, self.inside = self.outside + 1, 0
-        elif inside:
-            self.inside += 1
+        self.region, self.border = parent.region if parent else NONE, False
+        if self.region != OUT:
+            said = _said(name, attrs, self.region, parent.name if parent else "")
+            if said != NONE:
+                self.region, self.border = said, True
+
+
+def _said(name: str, attrs: str, around: int, parent: str) -> int:
+    """The region that an element says it begins, by its name and attributes; ``around``: the one it stands in."""
+    out = name in _OUT and not (name == "header" and around > NONE) and not (name == "footer" and parent == "blockquote")
+    against, for_, hint = name == "form", name in _IN, False
+    for key, a, b, c in _ATTR.findall(attrs) if attrs else ():
+        value, key = (a or b or c).strip().lower(), key.lower()
+        if key in ("class", "id"):
+            out |= bool(_OUT_NAMES.search(value))
+            hint |= bool(_IN_NAMES.search(value))
+            against |= bool(_SOFT_NAMES.search(value))
+        elif key == "role":
+            out |= value in _OUT_ROLES
+            against |= value == "form"
+            for_ |= value in ("main", "article")
+        elif key == "itemprop":
+            for_ |= value == "articlebody"
+        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+            out = True
+    if out:
+        return OUT
+    if for_:
+        return IN
+    if against:  # the header of a post is a part of it
+        return NONE if around > NONE or hint else AGAINST
+    return HINT if hint and around == NONE else NONE
 
 
 class Block:
@@ -162,9 +187,8 @@ def blocks_of(page: str) -> list[Block]:
         if name in _VOID or m.group(3).endswith("/") and name not in _BLOCK and name not in _RAW:
             continue
         if name in _RAW:
-            if not m.group(3).endswith("/") or name not in ("svg", "math"):
-                e = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = e.end() if e else end
+            e = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = e.end() if e else end
             continue
         number += 1
         top = Element(name, top, m.group(3), number)
@@ -190,38 +214,74 @@ def reading(b: Block) -> list[float]:
     ]
 
 
-#: Used where no page tells content from boilerplate by its elements.
+#: Used where no page tells content from boilerplate by its regions.
 DEFAULT = np.array([-2.0, 1.2, 1.0, -5.0, 1.2, 0.6, -2.0, -1.0, -1.0, -0.8])
 
 
-def logit(b: Block, weights: np.ndarray) -> float:
-    """Log-odds of content: how the block reads, and where it stands."""
-    r = float(np.clip(np.dot(weights, reading(b)), -4, 4))
-    e = b.element
-    if e.outside and not e.inside:
-        r -= 7
-    elif e.inside and not e.outside:
-        r += 5
-    elif e.inside:
-        r += 0.5
-    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        r += 0.5
-    elif b.tag in ("p", "blockquote", "pre"):
-        r += 2
-    return r
-
-
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges (i, j, weight): neighbours, less the farther apart they are in the DOM, and the last block with the same parent."""
-    edges, last = [], {}
-    for i, b in enumerate(blocks):
-        parent = b.element.parent or b.element
-        if i:
-            edges.append((i - 1, i, NEXT * 0.5 ** min(12, _distance(blocks[i - 1].element, b.element))))
-        if parent.number in last and last[parent.number] < i - 1:
-            edges.append((last[parent.number], i, SIBLING))
-        last[parent.number] = i
-    return edges
+def costs(blocks: list[Block], weights: np.ndarray) -> list[float]:
+    """Bounded log-odds of content of each block, by how it reads."""
+    r = np.array([reading(b) for b in blocks])
+    return np.clip(r @ weights, -PLAIN - (LINKED - PLAIN) * r[:, 3], CONTENT).tolist()
+
+
+def graph(blocks: list[Block], odds: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log-odds of the nodes, blocks first and then elements, and edges (i, j, weight).
+
+    A region's name counts once for each block that an edge joins to it. Elements without a name that hold
+    one block or element are left out.
+    """
+    n = len(blocks)
+    parts: dict[int, int] = {}
+    for b in blocks:
+        e, new = b.element, True
+        while new and e:
+            new = e.number not in parts
+            parts[e.number] = parts.get(e.number, 0) + 1
+            e = e.parent
+    members: list[Element] = []
+    holder: dict[int, int] = {}  # place in members of the innermost node at or above an element, or -1
+
+    def node_of(e: Element | None) -> int:
+        passed, found = [], -1
+        while e:
+            if e.number in holder:
+                found = holder[e.number]
+                break
+            passed.append(e.number)
+            if e.border or parts[e.number] > 1:
+                found = len(members)
+                members.append(e)
+                break
+            e = e.parent
+        for k in passed:
+            holder[k] = found
+        return found
+
+    held = [node_of(b.element) for b in blocks]
+    up, at = [], 0
+    while at < len(members):  # which grow
+        up.append(node_of(members[at].parent))
+        at += 1
+    region = [-1] * len(members)
+    for k in sorted(range(len(members)), key=lambda k: members[k].depth):
+        region[k] = k if members[k].border else region[up[k]] if up[k] >= 0 else -1
+
+    edges = [(i - 1, i, NEXT * 0.5 ** min(12, _distance(blocks[i - 1].element, blocks[i].element))) for i in range(1, n)]
+    counts = [0] * len(members)
+    for i, (b, k) in enumerate(zip(blocks, held, strict=True)):
+        if k < 0:
+            continue
+        r = region[k]
+        if k != r or members[k].region > NONE:
+            edges.append((i, n + k, LOOSE))
+        if r >= 0 and (members[r].region != AGAINST or k == r):
+            counts[r] += 1
+            edges.append((i, n + r, HOLD * (1 - b.linked / len(b.text)) if members[r].region > NONE else HOLD))
+    for k, e in enumerate(members):
+        if up[k] >= 0:
+            edges.append((n + k, n + up[k], BORDER if e.border else FIRM if e.region == OUT else FREE if e.region == NONE else TIE))
+    rate = {OUT: -NAMED, AGAINST: -NAMED, NONE: 0.0, HINT: HINTED, IN: NAMED}
+    return odds + [rate[e.region] * (1 + counts[k]) if e.border else 0.0 for k, e in enumerate(members)], edges
 
 
 def _distance(a: Element, b: Element) -> int:
@@ -267,67 +327,82 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
 def _flow(rest: list[int], unary: list[float], near: list[dict[int, float]]) -> set[int]:
     """Dinic's maximum flow; the nodes that can't reach the sink afterwards are content."""
-    s, t = -1, -2
-    cap: dict[int, dict[int, float]] = {s: {}, t: {}}
-    for i in rest:
-        cap[i] = dict(near[i])
-    for i in rest:
+    n = len(rest)
+    s, t = n, n + 1
+    place = {i: k for k, i in enumerate(rest)}
+    out: list[list[int]] = [[] for _ in range(n + 2)]  # edges by their number; e ^ 1 is the reverse of e
+    to: list[int] = []
+    cap: list[float] = []
+
+    def add(u: int, v: int, c: float, back: float) -> None:
+        out[u].append(len(to))
+        out[v].append(len(to) + 1)
+        to.extend((v, u))
+        cap.extend((c, back))
+
+    for k, i in enumerate(rest):
         if unary[i] >= 0:
-            cap[s][i], cap[i][s] = unary[i], 0.0
+            add(s, k, unary[i], 0.0)
         else:
-            cap[i][t], cap[t][i] = -unary[i], 0.0
-    eps = 1e-12
+            add(k, t, -unary[i], 0.0)
+        for j, w in near[i].items():
+            if j > i:
+                add(k, place[j], w, w)
+    eps = 1e-9
     while True:
-        level = {s: 0}
-        queue = deque([s])
-        while queue:
-            u = queue.popleft()
-            for v, c in cap[u].items():
-                if c > eps and v not in level:
-                    level[v] = level[u] + 1
-                    queue.append(v)
-        if t not in level:
-            break
-        todo = {u: list(cap[u]) for u in level}
-        path = [s]
-        while path:
-            u = path[-1]
+        # levels from the sink: a path is found without dead ends but for saturated edges
+        level = [-1] * (n + 2)
+        level[t] = 0
+        queue = [t]
+        for v in queue:
+            d = level[v] + 1
+            for e in out[v]:
+                u = to[e]
+                if level[u] < 0 and cap[e ^ 1] > eps:
+                    level[u] = d
+                    queue.append(u)
+        if level[s] < 0:
+            return {i for k, i in enumerate(rest) if level[k] < 0}
+        at = [0] * (n + 2)
+        path: list[int] = []
+        u = s
+        while True:
             if u == t:
-                f = min(cap[a][b] for a, b in zip(path, path[1:], strict=False))
-                for a, b in zip(path, path[1:], strict=False):
-                    cap[a][b] -= f
-                    cap[b][a] += f
-                # back to where the path is saturated
-                k = next(k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if cap[a][b] <= eps)
-                del path[k + 1 :]
+                f = min(cap[e] for e in path)
+                cut = -1
+                for k, e in enumerate(path):
+                    cap[e] -= f
+                    cap[e ^ 1] += f
+                    if cut < 0 and cap[e] <= eps:
+                        cut = k
+                u = to[path[cut] ^ 1]  # back to where the path is saturated
+                del path[cut:]
                 continue
-            ahead = todo[u]
-            while ahead and not (cap[u][ahead[-1]] > eps and level.get(ahead[-1], -1) == level[u] + 1):
-                ahead.pop()
-            if ahead:
-                path.append(ahead[-1])
-            else:
+            edges, k, d = out[u], at[u], level[u] - 1
+            while k < len(edges) and not (cap[edges[k]] > eps and level[to[edges[k]]] == d):
+                k += 1
+            at[u] = k
+            if k < len(edges):
+                path.append(edges[k])
+                u = to[edges[k]]
+            elif path:
                 level[u] = -1
-                path.pop()
-    # what reaches the sink is boilerplate
-    back = {t}
-    queue = deque([t])
-    while queue:
-        v = queue.popleft()
-        for u in cap[v]:
-            if u not in back and cap[u][v] > eps:
-                back.add(u)
-                queue.append(u)
-    return {i for i in rest if i not in back}
+                u = to[path.pop() ^ 1]
+            else:
+                break
+
+
+def labels(blocks: list[Block], weights: np.ndarray = DEFAULT) -> list[bool]:
+    """Whether each block is content."""
+    if not blocks:
+        return []
+    return min_cut(*graph(blocks, costs(blocks, weights)))[: len(blocks)]
 
 
 def extract(page: str, weights: np.ndarray = DEFAULT) -> str:
     """The main text of one page."""
     blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    keep = min_cut([logit(b, weights) for b in blocks], smoothness(blocks))
-    return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n\n".join(b.text for b, k in zip(blocks, labels(blocks, weights), strict=True) if k)
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> np.ndarray:
@@ -340,8 +415,8 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> np.nd
             rows = []
             for t in batch.column(0):
                 for b in blocks_of(t.as_py() or ""):
-                    if bool(b.element.inside) != bool(b.element.outside):
-                        rows.append([float(bool(b.element.inside)), *reading(b)])
+                    if b.element.region in (OUT, IN):
+                        rows.append([float(b.element.region == IN), *reading(b)])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
 
