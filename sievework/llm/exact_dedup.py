@@ -1,14 +1,14 @@
-"""Exact dedup by an extendible-hash index.
+"""Exact dedup by an extendible-hash index on shared files.
 
-The index maps a 64-bit hash of the text to a chain of different texts. Its directory is
-addressed by the hash's leading bits and doubles until no bucket holds more keys than its
-capacity. Buckets are ranges of keys, but no files: a task owns a hash slice of a bucket's keys,
-which reach it by a shuffle. It takes them in key order, chains texts that share a key and compares
-their bytes. Up to CAPACITY shared keys there is one bucket.
+The index maps a 64-bit hash of the text to a chain of different texts. Its directory is addressed by the
+hash's leading bits and doubles until no bucket holds more keys than its capacity, so a bucket is a range of
+keys. Each has one owner task, which takes the range in key order, chains texts that share a key, compares
+their bytes and writes the bucket's file: for each chained text its hash, the id that stays and the size of
+its group.
 
-Only keys that two rows share are ever resolved: a first pass writes hashes alone, a second
-sends just the texts of shared keys, one per map task and text, to their owners. So a text that
-a third of all rows hold reaches its owner once per map task.
+Only keys that two rows share are ever resolved: a first pass writes hashes alone, a second sends just the
+texts of shared keys, one per map task and text, to their owners. So a text that a third of all rows hold
+reaches its owner once per map task.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import back, join_skewed, keep, row_id, shared_folder, small, wide
+from .shared import BROADCAST_ROWS, back, join_skewed, keep, row_id, semi_skewed, shared_folder, slices, wide
 
 #: Keys that a bucket holds before it is split.
 CAPACITY = 250_000
-#: Directories may not double beyond this many entries; owners then read longer ranges.
+#: Directories may not double beyond 2^20 entries; buckets then hold more keys, which costs their owners time only.
 MAX_DEPTH = 20
 #: Bytes of different texts that a map task gathers before it passes them on.
 GATHER_BYTES = 32 << 20
@@ -62,7 +62,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: dict[int, dict[bytes, tuple[int, int]]] = {}
     size = 0
-    for batch in batches:
+    for batch in slices(batches):
         for k, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             chain = held.setdefault(k, {})
             if t in chain:
@@ -109,7 +109,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, capacity: int = CAPACITY, key_bits: int = 64, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are (after ``normalise``, a column over ``text_col``, if given).
@@ -117,7 +117,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as smaller than all others; if only such rows hold a text, all of them share keep_id null and
     ``kept`` is true for each. Rows that repeat an id are rows of their own in group_size, and all of
     them are kept or none. An empty table gives an empty result. Other columns are not looked at.
-    ``key_bits`` shortens the hash; tests use it to make keys collide.
+    Up to ``broadcast_rows`` shared keys go to all tasks; of more, only those that many rows have, and the
+    rest of the texts meets theirs by a shuffle. ``key_bits`` shortens the hash; tests use it to make keys collide.
     """
     spark = docs.sparkSession
     at = shared_folder(spark, "exact")
@@ -125,29 +126,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(body)
     key = key if key_bits == 64 else F.shiftrightunsigned(key, 64 - key_bits)
     rows = keep(docs.select(row_id(id_col).alias("id"), key.alias("key"), F.sha2(body.cast("binary"), 256).alias("text_sha256")), f"{at}/rows")
-    shared = keep(rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), f"{at}/keys")
-    n_keys = shared.count()
-
-    depth = min(MAX_DEPTH, max(0, (n_keys // capacity).bit_length() + 4)) if n_keys > capacity else 0
-    lead = F.shiftrightunsigned("key", key_bits - depth).cast("int") if depth else F.lit(0)
-    counts = {r.lead: r.n for r in shared.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).collect()} if depth else {}  # 2^MAX_DEPTH rows at most
+    shared = keep(rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"), f"{at}/keys")
+    n_keys, total = shared.count(), rows.count()
+
+    # every task of the session owns a bucket at least
+    capacity = max(1, min(capacity, n_keys // wide(spark, 1, 1)))
+    depth = min(MAX_DEPTH, key_bits, (n_keys // capacity).bit_length() + 4) if n_keys > capacity else 0
+    lead = lambda d: F.shiftrightunsigned("key", key_bits - d).cast("int") if d else F.lit(0)
+    counts = {r.lead: r.n for r in shared.groupBy(lead(depth).alias("lead")).agg(F.count("*").alias("n")).collect()}  # 2^MAX_DEPTH rows at most
     buckets = directory(counts, depth, capacity)
-    g = len(buckets).bit_length() - 1
-    entry = F.shiftrightunsigned("key", key_bits - g).cast("long") if g else F.lit(0).cast("long")
-
-    texts = docs.select(row_id(id_col).alias("id"), key.alias("key"), body.cast("binary").alias("body")).join(small(shared), "key", "left_semi").select("key", "id", "body")
-    posted = texts.mapInArrow(_gather, "key long, last long, n long, body binary")
-    if g:
-        prefixes = spark.createDataFrame(list(enumerate(buckets)), "entry long, bucket int")  # the directory: 2^MAX_DEPTH rows at most
-        posted = posted.withColumn("entry", entry).join(F.broadcast(prefixes), "entry")
-    else:
-        posted = posted.withColumn("bucket", F.lit(0))
-    # a bucket of few keys would leave most tasks idle, so an owner takes a slice of a bucket's keys
-    slices = wide(spark, 1, 1)
-    owned = posted.repartition(max(slices, buckets[-1] + 1), "bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(slices))).sortWithinPartitions("bucket", "key")
+    prefixes = spark.createDataFrame(list(enumerate(buckets)), "entry int, bucket int")  # the directory: 2^MAX_DEPTH rows at most
+
+    texts = docs.select(row_id(id_col).alias("id"), key.alias("key"), body.cast("binary").alias("body"))
+    posted = semi_skewed(texts, shared, "key", "rows", total, broadcast_rows).select("key", "id", "body").mapInArrow(_gather, "key long, last long, n long, body binary")
+    placed = posted.withColumn("entry", lead(len(buckets).bit_length() - 1)).join(F.broadcast(prefixes), "entry")
+    owned = placed.repartitionById(buckets[-1] + 1, F.col("bucket")).sortWithinPartitions("key")
     classes = keep(owned.select("key", "last", "n", "body").mapInArrow(_own, "key long, text_sha256 string, keep_id long, group_size long").filter("group_size > 1"), f"{at}/index")
 
-    total = rows.count()
     joined = join_skewed(rows, classes, ["key", "text_sha256"], "group_size", total)
     keep_id = F.coalesce("keep_id", "id")
     out = joined.select("id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("id") == keep_id).alias("kept"), "text_sha256")

@@ -17,16 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .wordscan import mix
 from .shared import slices
+from .wordscan import _BASE, _power, mix
 
-#: Documents of each language that are learned from, about.
-SAMPLE = 500
+#: Documents of each language that are learned from, about, and stretches of their words.
+SAMPLE, STRETCHES = 500, 3_000
 #: Words of a segment, and segments that are learned from at most.
 SEGMENT, SEGMENTS = 64, 6_000
+#: Bytes of a word that may be learned from; longer ones are read, but not learned.
+WORD_BYTES = 256
 BUCKETS = 1 << 16
 EPOCHS = 12
 #: Bytes of text that are worked on at once.
@@ -68,11 +70,10 @@ class Grams:
         table = np.uint32(BUCKETS - 1)
         slot = lambda g, k: ((g * np.uint32(0x9E3779B1) + np.uint32(k)) >> np.uint32(13) ^ g) % table + np.uint32(1)
         self.slots = [slot(g2, 1), np.where(place >= 1, slot(g3, 0x5BD1E995), 0), np.where(place >= 2, slot(g4, 0x27D4EB2F), 0)]
-        word = np.zeros(m, dtype=np.uint64)
-        for k in range(7):
-            at = np.minimum(self.at + k, max(0, len(c) - 1))
-            word = word << np.uint64(8) | np.where(k < length, c[at] if m else 0, 0).astype(np.uint64)
-        self.lexicon = (mix(word << np.uint64(8) | np.minimum(length, 255).astype(np.uint64)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+        # the lexicon's places are hashes of whole words, of any length
+        per_byte = (c.astype(np.uint64) + np.uint64(1)) * _power(_BASE, int(length.max()) + 1)[place] if m else c
+        word = np.add.reduceat(per_byte, self.at) if m else np.zeros(0, dtype=np.uint64)
+        self.lexicon = (mix(word) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
         self.first = np.r_[0, np.cumsum(self.count)]
 
     def emissions(self, weights: np.ndarray) -> np.ndarray:
@@ -201,18 +202,20 @@ class Crf:
         return pred, score
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Crf | None:
-    """Fits by stochastic gradient on spliced sequences; None without labelled words."""
+def stretches(text: str, seed: int) -> list[bytes]:
+    """A whole text's words in stretches of 4 to SEGMENT words."""
+    rng = np.random.default_rng(seed)
+    words = [w for w in regex.findall(rb"[a-z\x80-\xff]+", text.lower().encode()) if len(w) <= WORD_BYTES]
+    ends = np.cumsum(rng.integers(4, SEGMENT + 1, size=len(words) // 4 + 1)).tolist()
+    return [b" ".join(words[a:b]) for a, b in zip([0, *ends], ends, strict=False) if a < len(words)]
+
+
+def train(found: list[bytes], langs: list[str], seed: int = 7) -> Crf | None:
+    """Fits by stochastic gradient on sequences spliced from stretches of words; None without any."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
-    pieces: list[tuple[bytes, int]] = []
-    for t, lang in zip(texts, langs, strict=True):
-        words = regex.findall(rb"[a-z\x80-\xff]+", t.lower().encode())
-        at = 0
-        while at < len(words):
-            n = int(rng.integers(4, SEGMENT + 1))
-            pieces.append((b" ".join(words[at : at + n]), labels.index(lang)))
-            at += n
+    number = {x: k for k, x in enumerate(labels)}
+    pieces = [(t, number[x]) for t, x in zip(found, langs, strict=True)]
     if not pieces:
         return None
     share = np.bincount([k for _, k in pieces], minlength=len(labels))
@@ -262,9 +265,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1 << 20, -(-sample * (1 << 20) // n))))))
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 20))
-    rows = usable.filter(h < share[F.col(lang_col)]).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).limit(4 * sample * len(counts)).collect()
-    rows.sort(key=lambda r: (r.i, r.l, r.t))
-    return train([r.t for r in rows], [r.l for r in rows])
+    chosen = usable.filter(h < share[F.col(lang_col)]).select(F.coalesce(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(0)).alias("h"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for h, x, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if got := stretches(t, h & 0xFFFFFFFF):
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(got)), pa.array(range(len(got)), pa.int64()), pa.array([x] * len(got)), pa.array(got, pa.binary())], names=["h", "k", "l", "words"])
+
+    # texts stay where they are; stretches of bounded length reach the driver, STRETCHES of a language
+    order = Window.partitionBy("l").orderBy(F.xxhash64("h", "k"), "words")
+    picked = chosen.mapInArrow(run, "h long, k long, l string, words binary").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= STRETCHES)
+    rows = sorted((r.l, r.n, bytes(r.words)) for r in picked.collect())
+    return train([w for _, _, w in rows], [x for x, _, _ in rows])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, model: Crf | None = None) -> DataFrame:
@@ -273,8 +286,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lang_pred is a value of ``lang_col`` that was learned, ``und`` (score 0) for a text that is null or
     has no letter, or if nothing could be learned. Learned are the rows of at most ``sample`` ids or so of
     each language that are not held out; ids, languages and other columns are never inputs of a
-    prediction. All rows stay, null and repeated ids too, and an empty table gives an empty result.
-    Whole texts are read, however long.
+    prediction. Of languages with equal shares the first in order counts. All rows stay, null and repeated
+    ids too, and an empty table gives an empty result. Whole texts are read, however long.
     """
     model = model or fit(docs, id_col, text_col, lang_col, sample)
     docs = docs.drop("lang_pred", "score", "held_out")

@@ -4,7 +4,7 @@ One narrow pass tokenises and cuts; only piece lengths are packed. Pieces are sp
 groups of bounded size, so the groups' number grows with the input and no task holds more than one.
 A group is packed by best fit in decreasing order. Then bins that aren't full exchange pieces, one
 for one, two for one or by a move, always towards a larger sum of squared fills, until a bin is
-empty; this ends when the bins are as few as the total length needs, or no exchange is left.
+empty; this ends when the bins are as few as the total length needs, or when no bin has an exchange left.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import functools
 import json
 import zlib
 from array import array
-from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,8 +27,6 @@ from .shared import keep, shared_folder, slices
 
 #: Pieces of a group, about. The last bins of a group may be underfull, so larger groups pack better.
 GROUP = 60_000
-#: Donor bins that a group's local search tries to empty before it ends.
-DONORS = 3_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -107,79 +104,137 @@ class Bins:
                 free[room - n].append(b)
                 mask |= 1 << (room - n)
 
-    def used(self) -> int:
-        return sum(1 for f in self.fill if f)
+    def improve(self) -> None:
+        """Empties bins by moves and exchanges, each of which raises the sum of squared fills, until no bin can be improved or they are as few as the total needs.
 
-    def improve(self, donors: int = DONORS) -> None:
-        """Empties bins by moves and exchanges, each of which raises the sum of squared fills."""
+        Bins with room are indexed by it, and pieces of them by size: for each size the most room of a bin
+        that holds such a piece. So the best exchange of a bin takes one look at all sizes.
+        """
         bound = -(-sum(self.fill) // self.capacity)
-        tried = 0
-        failed: set[int] = set()
-        while tried < donors and self.used() > bound:
-            open_bins = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
-            progress = False
-            for b in open_bins:
-                if tried >= donors or self.used() <= bound:
+        self._index()
+        used = sum(1 for f in self.fill if f)
+        queue = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
+        steps = 1
+        while used > bound and steps:
+            steps, aside = 0, []
+            for b in queue:
+                if 0 < self.fill[b] < self.capacity:
+                    self._set(b, out=True)
+                    steps += self._drain(b)
+                    if self.fill[b]:
+                        aside.append(b)  # it is lighter than those that follow, so none of them may fill it
+                    else:
+                        used -= 1
+                        if used <= bound:
+                            break
+            for b in aside:
+                self._set(b)
+            queue = sorted((b for b in queue if 0 < self.fill[b] < self.capacity), key=lambda b: self.fill[b])
+
+    def _index(self) -> None:
+        n = self.capacity + 1
+        self._by_room: dict[int, set[int]] = defaultdict(set)
+        self._rooms = 0  # bit r: an open bin has room r
+        self._of_size: list[dict[int, set[int]]] = [defaultdict(set) for _ in range(n)]  # by size of a piece, then room
+        self._room_of = np.full(n, -1, dtype=np.int64)  # most room of an open bin with a piece of that size
+        for b, f in enumerate(self.fill):
+            if 0 < f < self.capacity:
+                self._set(b)
+
+    def _set(self, b: int, out: bool = False) -> None:
+        """Enters bin ``b`` into the index, or takes it out."""
+        room = self.capacity - self.fill[b]
+        if out:
+            self._by_room[room].discard(b)
+            if not self._by_room[room]:
+                self._rooms &= ~(1 << room)
+        else:
+            self._by_room[room].add(b)
+            self._rooms |= 1 << room
+        for size in {n for n, _ in self.items[b]}:
+            rooms = self._of_size[size]
+            if out:
+                rooms[room].discard(b)
+                if not rooms[room]:
+                    del rooms[room]
+                    if room == self._room_of[size]:
+                        self._room_of[size] = max(rooms, default=-1)
+            else:
+                rooms[room].add(b)
+                self._room_of[size] = max(self._room_of[size], room)
+
+    def _drain(self, b: int) -> int:
+        """Moves what bin ``b`` holds into fuller bins, by the step that fills one most, while there is any; how many steps."""
+        steps = 0
+        sizes = np.arange(self.capacity + 1)
+        while self.items[b]:
+            mine = sorted({n for n, _ in self.items[b]}, reverse=True)
+            best, give, take, into = 0, (), None, -1
+            for n in mine:  # a move: the largest piece that fits, into the smallest room for it
+                fitting = self._rooms >> n
+                if fitting:
+                    best, give, into = n, (n,), n + (fitting & -fitting).bit_length() - 1
                     break
-                if b in failed or not self.fill[b]:
+            reach = sizes + self._room_of  # the largest that may take the place of a piece of each size
+            held = self._room_of >= 0
+            one = np.array(mine[::-1])
+            pairs = self._pairs(b)
+            for given in (one, pairs):
+                if not len(given):
                     continue
-                tried += 1
-                if self._drain(b, open_bins):
-                    progress = True
-                    failed.clear()
-                else:
-                    failed.add(b)
-            if not progress:
+                at = np.searchsorted(given, reach, side="right") - 1
+                gain = np.where(held & (at >= 0), given[at] - sizes, 0)
+                k = int(gain.argmax())
+                if gain[k] > best:
+                    n = int(given[at[k]])
+                    best, take = int(gain[k]), k
+                    give = (n,) if given is one else self._two(b, n)
+                    into = self._room_of[k]
+            if not best:
                 break
-
-    def _drain(self, b: int, open_bins: list[int]) -> bool:
-        """Moves what bin ``b`` holds into fuller bins; True if it ends empty."""
-        moved = True
-        while moved and self.items[b]:
-            moved = False
-            for c in reversed(open_bins):
-                if c == b or not self.fill[c] >= self.fill[b] or self.fill[c] == self.capacity:
-                    continue
-                if self._exchange(b, c):
-                    moved = True
-                    if not self.items[b]:
-                        return True
-        return not self.items[b]
-
-    def _exchange(self, b: int, c: int) -> bool:
-        """The best move or exchange that fills ``c`` from ``b``."""
-        room, mine, theirs = self.capacity - self.fill[c], sorted(self.items[b]), sorted(self.items[c])
-        best, choice = 0, None
-        fits = bisect_right(mine, (room, 1 << 60))
-        if fits:
-            best, choice = mine[fits - 1][0], ([mine[fits - 1]], None)
-        sizes = [(x[0], [x]) for x in mine]
-        if len(mine) <= 40:
-            sizes += [(x[0] + y[0], [x, y]) for k, x in enumerate(mine) for y in mine[:k]]
-            sizes.sort(key=lambda x: x[0])
-        keys = [s for s, _ in sizes]
-        for t in theirs:
-            k = bisect_right(keys, t[0] + room) - 1
-            if k >= 0 and keys[k] - t[0] > best:
-                best, choice = keys[k] - t[0], (sizes[k][1], t)
-        if choice is None:
-            return False
-        give, take = choice
-        for x in give:
-            self.items[b].remove(x)
-            self.items[c].append(x)
-        if take:
-            self.items[c].remove(take)
-            self.items[b].append(take)
-        self.fill[b] -= best
-        self.fill[c] += best
-        return True
-
-
-def pack(lengths: list[int], capacity: int, donors: int = DONORS) -> list[int]:
+            c = next(iter(self._by_room[into] if take is None else self._of_size[take][into]))
+            if self.fill[c] + best <= self.fill[b]:  # it must end fuller than this bin was
+                break
+            steps += 1
+            self._set(c, out=True)
+            for n in give:
+                self._pass(b, c, n)
+            if take is not None:
+                self._pass(c, b, take)
+            self.fill[b] -= best
+            self.fill[c] += best
+            if self.fill[c] < self.capacity:
+                self._set(c)
+        return steps
+
+    def _pass(self, b: int, c: int, n: int) -> None:
+        k = next(k for k, x in enumerate(self.items[b]) if x[0] == n)
+        self.items[c].append(self.items[b].pop(k))
+
+    def _pairs(self, b: int) -> np.ndarray:
+        """Sums of any two pieces of a bin, ascending."""
+        n = np.sort(np.array([x for x, _ in self.items[b]]))
+        first = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
+        sums = np.zeros(2 * self.capacity + 1, dtype=bool)
+        for x in n[first].tolist():
+            sums[n[first] + x] |= n[first] != x
+        sums[2 * n[1:][n[1:] == n[:-1]]] = True
+        return np.flatnonzero(sums)
+
+    def _two(self, b: int, total: int) -> tuple[int, int]:
+        """Two pieces of a bin with that sum."""
+        seen: set[int] = set()
+        for x, _ in self.items[b]:
+            if total - x in seen:
+                return x, total - x
+            seen.add(x)
+        raise ValueError(total)
+
+
+def pack(lengths: list[int], capacity: int) -> list[int]:
     """Bin of each piece; bins are numbered from 0 without gaps."""
     bins = Bins(lengths, capacity)
-    bins.improve(donors)
+    bins.improve()
     where, n = [0] * len(lengths), 0
     for items in bins.items:
         if items:
@@ -189,12 +244,12 @@ def pack(lengths: list[int], capacity: int, donors: int = DONORS) -> list[int]:
     return where
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, donors: int = DONORS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids followed by id 0; a null text is empty, so it has one id. Documents
     longer than ``capacity`` are cut into pieces of that length, where the first may be shorter. Every
-    piece is packed; sequences are gapless. Null and repeated ids are documents like others. An empty
+    piece is packed; sequences are gapless. Ties between bins are settled by the order of their making. Null and repeated ids are documents like others. An empty
     table gives an empty result. Other columns are not looked at.
     """
 
@@ -216,7 +271,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 204
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table["length"].to_numpy()
-        where = np.array(pack(lengths.tolist(), capacity, donors), dtype=np.int64)
+        where = np.array(pack(lengths.tolist(), capacity), dtype=np.int64)
         order = np.argsort(where, kind="stable")
         ends = np.cumsum(lengths[order])
         begins = ends - lengths[order]

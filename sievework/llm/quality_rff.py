@@ -23,6 +23,8 @@ FEATURES = 256
 #: Labelled rows that are learned from, about; a quarter of them calibrate.
 SAMPLE = 20_000
 RIDGE = 1.0
+#: Width of the kernel, in units of the square root of half the number of statistics.
+WIDTH = 3.0
 #: Bins of raw scores for the calibration.
 BINS = 2_000
 
@@ -73,23 +75,21 @@ class Model:
         rng = np.random.default_rng(seed)
         self.mean, self.scale = mean, scale
         d = len(mean)
-        self.omega = rng.normal(size=(d, FEATURES)) / np.sqrt(d / 2)
+        self.omega = rng.normal(size=(d, FEATURES)) / (WIDTH * np.sqrt(d / 2))
         self.phase = rng.uniform(0, 2 * np.pi, FEATURES)
-        self.weights = np.zeros(FEATURES + d + 1)
-        self.edges, self.values = np.array([0.5]), np.array([0.5, 0.5])
+        self.weights = np.zeros(FEATURES + 1)
+        self.edges, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.hstack([np.sqrt(2 / FEATURES) * np.cos(z @ self.omega + self.phase), z, np.ones((len(z), 1))])
+        return np.hstack([np.sqrt(2 / FEATURES) * np.cos(z @ self.omega + self.phase), np.ones((len(z), 1))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.features(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        r = self.raw(x)
-        stepped = self.values[np.searchsorted(self.edges, r, side="right")]
-        # a little of the raw score keeps the order within a step
-        return np.clip(0.98 * stepped + 0.02 / (1 + np.exp(-4 * (r - 0.5))), 0, 1)
+        """Calibrated scores: between the isotonic fit's points by straight lines."""
+        return np.clip(np.interp(self.raw(x), self.edges, self.values), 0, 1)
 
 
 def isotonic(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -103,6 +103,15 @@ def isotonic(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), p / t if t else 0.0) for p, t, n in blocks]) if blocks else np.zeros(0)
 
 
+def points(x: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The isotonic fit as points: the mean place and the value of each of its steps, with an end below and above."""
+    y = isotonic(positive, total)
+    head = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+    weight = np.add.reduceat(total, head)
+    at, value = np.add.reduceat(x * total, head) / weight, y[head]
+    return np.r_[at[0] - 1, at, at[-1] + 1], np.r_[value[0] / 2, value, (1 + value[-1]) / 2]
+
+
 def is_held_out(id_col: str, fold: int = 0, folds: int = 5) -> Column:
     """Rows that nothing is learned from: a remainder of the id's CRC, or no id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))
@@ -178,10 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x.unpersist()
     used = np.flatnonzero(sums[BINS:] > 0)
     if len(used):
-        fit_ = isotonic(sums[used], sums[BINS + used])
-        model.edges, model.values = bins[np.minimum(used[:-1], BINS - 2)], fit_
-    else:
-        model.edges, model.values = bins, np.clip(np.r_[0.0, bins], 0, 1)
+        model.edges, model.values = points(np.r_[bins[0], (bins[1:] + bins[:-1]) / 2, bins[-1]][used], sums[used], sums[BINS + used])
     return model
 
 

@@ -62,6 +62,20 @@ def join_skewed(left: DataFrame, right: DataFrame, on: list[str], size: str, tot
     return done.unionByName(cold)
 
 
+def semi_skewed(left: DataFrame, keys: DataFrame, on: str, size: str, total: int, rows: int = BROADCAST_ROWS, hot: int = 1000) -> DataFrame:
+    """Rows of ``left`` whose key is in the written table ``keys``, where a key may hold any share of ``left``.
+
+    Up to ``rows`` keys go by broadcast. Of more, those with more than total / hot rows do (``hot`` at most),
+    so their rows stay where they are; the others meet their rows by a shuffle.
+    """
+    if keys.count() <= rows:
+        return left.join(F.broadcast(keys.select(on)), on, "left_semi")
+    limit = max(1, total // hot)
+    heavy = F.broadcast(keys.filter(F.col(size) > limit).select(on))
+    cold = left.join(heavy, on, "left_anti").join(keys.filter(F.col(size) <= limit).select(on).hint("merge"), on, "left_semi")
+    return left.join(heavy, on, "left_semi").unionByName(cold)
+
+
 def row_id(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 

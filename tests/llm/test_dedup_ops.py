@@ -104,8 +104,17 @@ def test_exact_dedup(spark, rows, key_bits, capacity):
     for i, t in rows:
         groups[t or ""].append(i)
     want = {i: (max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(frame(spark, rows), key_bits=key_bits, capacity=capacity).collect()}
-    assert got == want
+    for most in (1_000_000, 2):  # shared keys by broadcast, and more than may go so
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(frame(spark, rows), key_bits=key_bits, capacity=capacity, broadcast_rows=most).collect()}
+        assert got == want
+
+
+def test_exact_dedup_with_a_hot_text_and_many_shared_keys(spark):
+    rows = [(k, "hot " * 500 if k % 3 == 0 else f"text {k // 6}") for k in range(6000)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(frame(spark, rows), broadcast_rows=10, capacity=50).collect()}
+    last = {t: max(i for i, x in rows if x == t) for t in {rows[0][1]}}
+    assert got[0] == (last[rows[0][1]], 2000) and got[1] == (5, 4) and len(got) == 6000
+    assert exact_dedup(frame(spark, [(1, "y" * 5_000_000), (2, "y" * 5_000_000), (2, "z")])).filter("group_size = 2 and keep_id = 2").count() == 2
 
 
 def test_exact_dedup_without_ids_and_rows(spark):
