@@ -280,8 +280,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([w for _, _, w in rows], [x for x, _, _ in rows])
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, model: Crf | None = None) -> DataFrame:
-    """``docs`` with lang_pred, score and held_out added (they replace columns of these names).
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, model: Crf | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "held_out")) -> DataFrame:
+    """``docs`` with lang_pred, score and held_out added, under ``names``; they replace columns of these names.
 
     lang_pred is a value of ``lang_col`` that was learned, ``und`` (score 0) for a text that is null or
     has no letter, or if nothing could be learned. Learned are the rows of at most ``sample`` ids or so of
@@ -290,16 +290,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ids too, and an empty table gives an empty result. Whole texts are read, however long.
     """
     model = model or fit(docs, id_col, text_col, lang_col, sample)
-    docs = docs.drop("lang_pred", "score", "held_out")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in [n.lower() for n in names] and c not in (id_col, text_col)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
     at = docs.columns.index(text_col)
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             pred, score = crf.documents(texts) if crf else (["und"] * len(texts), [0.0] * len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names[:2]])
 
-    return docs.mapInArrow(run, schema).withColumn("held_out", is_held_out(id_col))
+    return docs.mapInArrow(run, schema).withColumn(names[2], is_held_out(id_col))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,16 @@ NULL_ID = -(2**63)
 BROADCAST_ROWS = 1_000_000
 
 
+class _Made(threading.local):
+    """Folders that this thread of the driver made, in order."""
+
+    def __init__(self) -> None:
+        self.at: list[str] = []
+
+
+_MADE = _Made()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; a local one is made only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +38,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
             base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.at.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE.at[-1]
+
+
+def made() -> int:
+    """How many folders were made so far; for ``clear``."""
+    return len(_MADE.at)
+
+
+def clear(spark: SparkSession, since: int = 0, but: str = "") -> None:
+    """Removes the folders made after ``since`` but one. Results that were not written elsewhere can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    for at in _MADE.at[since:]:
+        if at != but:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.at[since:] = [at for at in _MADE.at[since:] if at == but]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def keep(df: DataFrame, path: str, **options: str) -> DataFrame:
