@@ -25,8 +25,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
-    # few large row groups would leave most cores idle: text is the cost, so rows are spread first
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").repartition(4 * int(CPUS))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     traces = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("What follows?").alias("problem"), F.col("text").alias("thinking"), F.lit("4").alias("answer"), F.lit(None).cast("string").alias("expected_answer"), F.col("lang").alias("domain"))
     rows = traces.count()
     times: dict[str, float] = {}

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import language, lexicon
+from ..functions import lexicon
 from ..functions import text as t
+from ..functions.scan import scan
 
 
 def f32(c: Column | float) -> Column:
@@ -61,7 +62,7 @@ def _structure(c: Config) -> dict[str, Column]:
 
 
 def _repetition(c: Config) -> dict[str, Column]:
-    ratio = F.when(F.size("_sentences") == 0, f32(0.0)).otherwise(over(F.col("_thrice"), F.size("_sentences")))
+    ratio = F.when(F.col("_sentences") == 0, f32(0.0)).otherwise(over(F.col("_thrice"), F.col("_sentences")))
     r = F.greatest(minus(1.0, F.col("_unique")), ratio)
     return {"score": times(f32(100.0), minus(1.0, F.least(times(r, 3.0), f32(1.0)))), "paragraph_unique_ratio": F.col("_unique"), "repeated_sentences_3plus": F.col("_thrice")}
 
@@ -119,9 +120,9 @@ DIMENSIONS = (
     Dimension("language", "language_consistency", "language_score", ("_plain", "_langs", "_top", "_off"), _language),
     Dimension("alignment", "answer_alignment", "answer_alignment_score", ("_bin", "_tail", "_final", "_snippet", "_convergence", "_echo", "_delimiter", "_settled"), _alignment),
     Dimension("structure", "structural_clarity", "structural_score", ("_strong", "_medium", "_weak", "_double", "_breaks", "_effective", "_structure"), _structure),
-    Dimension("repetition", "repetition", "repetition_score", ("_paragraphs", "_sentences", "_unique", "_thrice"), _repetition),
+    Dimension("repetition", "repetition", "repetition_score", ("_paragraphs", "_distinct", "_sentences", "_unique", "_thrice"), _repetition),
     Dimension("overthinking", "overthinking", "overthinking_score", ("_complexity", "_expected", "_ratio"), _overthinking),
-    Dimension("verification", "self_verification", "verification_score", ("_bin", "_late", "_mid", "_late_e", "_late_i", "_mid_e", "_mid_i"), _verification),
+    Dimension("verification", "self_verification", "verification_score", ("_late_e", "_late_i", "_mid_e", "_mid_i"), _verification),
     Dimension("length", "length_calibration", "length_score", (), _length),
     Dimension("accuracy_efficiency", "accuracy_efficiency", "accuracy_efficiency_score", ("_thrift", "_right"), _accuracy),
 )
@@ -130,39 +131,42 @@ DIMENSIONS = (
 @functools.lru_cache(maxsize=4)
 def _stages(c: Config, app: str) -> list[dict[str, Column]]:
     """For one application: intermediates in the order in which they build on each other; nothing large is written twice in an expression."""
-    x, low, n, b, s = (F.col(k) for k in ("_x", "_lower", "_tokens", "_bin", "_sentences"))
-    brief = F.char_length("_lower") < 50
+    low, n, b = (F.col(k) for k in ("_lower", "_tokens", "_bin"))
     count = F.col("_concl")
     langs = F.col("_langs")
+    seen = F.col("_seen")
     snippet = F.col("_snippet")
     numeric = F.regexp_like(snippet, F.lit(r"^[\p{N}.\-+/=%±×−÷]{1,2}$")) & F.regexp_like(snippet, F.lit(r"\p{N}"))
     alone = (F.char_length(snippet) == 1) & (F.octet_length(snippet) > 1)
     end = F.regexp_replace(F.col("_final"), r"(?U)(?<!\s)\s+$", "")
-    chunked = F.filter(t.chunks(F.col("_plain"), c.num_chunks), lambda k: t.token_count(k) >= c.min_words_per_chunk)
-    # in a sorted array a value that occurs three times equals its successor but one
-    at = F.when(F.size(s) >= 3, F.sequence(F.lit(1), F.size(s) - 2)).otherwise(F.array().cast("array<int>"))
-    thrice = F.size(F.filter(at, lambda i: (F.element_at(s, i) == F.element_at(s, i + 2)) & ((i == 1) | (F.get(s, i - 2) != F.element_at(s, i)))))
     counts = F.transform(F.array_distinct(langs), lambda k: F.struct((-F.size(F.filter(langs, lambda y: y == k))).alias("n"), k.alias("lang")))
     return [
-        {"_bin": low.cast("binary"), "_restarts": t.restarts(x, low), "_plain": t.without_code(x), "_complexity": complexity(F.col("problem")), "_paragraphs": t.paragraphs(x), "_sentences": F.array_sort(F.transform(t.sentences(x), t.normalize)),
-         "_strong": t.count_phrases(low, lexicon.STRONG), "_medium": t.count_phrases(low, lexicon.MEDIUM), "_weak": t.count_phrases(low, lexicon.WEAK), "_double": t.count_phrase(x, F.lit("\n\n")), "_breaks": t.count_phrase(x, F.lit("\n")),
-         "_snippet": F.left(F.lower("answer"), F.lit(60)), "_right": t.answers_match(F.col("answer"), F.col("expected_answer")), "_thrift": F.least(F.greatest(minus(1.0, over(F.greatest(n - c.token_min, F.lit(0)), float(c.token_max - c.token_min))), f32(0.2)), f32(1.0))},
-        {"_tail": t.tail(b), "_final": t.final(b), "_late": F.when(brief, low).otherwise(t.late(b)), "_mid": F.when(brief, F.lit("")).otherwise(t.middle(b)), "_langs": F.when(F.char_length("_plain") >= 100, F.transform(chunked, language.detect)).otherwise(F.array().cast("array<string>")),
-         "_density": over(F.col("_restarts"), F.greatest(over(n, 1000.0), f32(1.0))), "_effective": plus(F.col("_double"), times(F.greatest(F.col("_breaks") - F.col("_double") * 2, F.lit(0)), 0.5)), "_expected": plus(f32(500.0), times(F.col("_complexity"), 4000.0)),
-         "_unique": F.when(F.size("_paragraphs") == 0, f32(1.0)).otherwise(over(F.size(F.array_distinct("_paragraphs")), F.size("_paragraphs"))), "_thrice": thrice},
-        {"_concl": t.distinct_phrases(F.col("_tail"), lexicon.CONCLUSIONS), "_delimiter": F.when(t.distinct_phrases(F.col("_tail"), lexicon.DELIMITERS) > 0, 20).otherwise(0), "_settled": F.when(t.distinct_phrases(F.col("_final"), lexicon.UNCERTAIN) > 0, 0).otherwise(20),
-         "_echo": F.when(((F.char_length(snippet) >= 3) | numeric | alone) & F.contains("_tail", snippet), 25).otherwise(0), "_late_e": t.count_phrases(F.col("_late"), lexicon.EXPLICIT), "_late_i": t.count_phrases(F.col("_late"), lexicon.IMPLICIT), "_mid_e": t.count_phrases(F.col("_mid"), lexicon.EXPLICIT), "_mid_i": t.count_phrases(F.col("_mid"), lexicon.IMPLICIT),
-         "_top": F.array_min(counts), "_ratio": over(n, F.col("_expected")),
+        {"_bin": low.cast("binary"), "_complexity": complexity(F.col("problem")), "_snippet": F.left(F.lower("answer"), F.lit(60)), "_right": t.answers_match(F.col("answer"), F.col("expected_answer")),
+         "_thrift": F.least(F.greatest(minus(1.0, over(F.greatest(n - c.token_min, F.lit(0)), float(c.token_max - c.token_min))), f32(0.2)), f32(1.0)),
+         "_restarts": seen["restarts"], "_strong": seen["strong"], "_medium": seen["medium"], "_weak": seen["weak"], "_double": seen["double"], "_breaks": seen["breaks"], "_concl": seen["concl"], "_langs": seen["langs"],
+         "_late_e": seen["late_e"], "_late_i": seen["late_i"], "_mid_e": seen["mid_e"], "_mid_i": seen["mid_i"], "_delimiter": F.when(seen["delimiters"] > 0, 20).otherwise(0), "_settled": F.when(seen["uncertain"] > 0, 0).otherwise(20),
+         "_paragraphs": seen["paragraphs"], "_distinct": seen["distinct_paragraphs"], "_sentences": seen["sentences"], "_thrice": seen["thrice"]},
+        {"_tail": t.tail(b), "_final": t.final(b), "_density": over(F.col("_restarts"), F.greatest(over(n, 1000.0), f32(1.0))), "_effective": plus(F.col("_double"), times(F.greatest(F.col("_breaks") - F.col("_double") * 2, F.lit(0)), 0.5)), "_expected": plus(f32(500.0), times(F.col("_complexity"), 4000.0)),
+         "_unique": F.when(F.col("_paragraphs") == 0, f32(1.0)).otherwise(over(F.col("_distinct"), F.col("_paragraphs")))},
+        {"_echo": F.when(((F.char_length(snippet) >= 3) | numeric | alone) & F.contains("_tail", snippet), 25).otherwise(0), "_top": F.array_min(counts), "_ratio": over(n, F.col("_expected")),
          "_structure": F.least(plus(times(over(F.col("_strong") * 3 + F.col("_medium") * 2 + F.col("_weak"), F.greatest(over(n, 100.0), f32(1.0))), 5.0), F.least(times(F.col("_effective"), 8.0), f32(40.0))), f32(100.0))},
         {"_convergence": F.least(F.when(count == 0, 0).when(count == 1, 15).when(count == 2, 22).otherwise(25) + F.when(F.regexp_like(end, F.lit(r"[.!。！]\z")), 10).otherwise(0), F.lit(35)), "_off": F.when((F.char_length("_plain") < 100) | (F.size(langs) == 0), 0).otherwise(F.size(langs) + F.col("_top.n"))},
     ]
 
 
+#: What a visit of the text counts for each dimension.
+_SCANNED = {"efficiency": "restarts", "language": "languages", "alignment": "ending", "structure": "markers", "repetition": "repeats", "verification": "checks"}
+
+
 def stage(df: DataFrame, config: Config, keys: tuple[str, ...]) -> DataFrame:
-    """``df`` with the intermediates that the dimensions ``keys`` need, in successive projections."""
+    """``df`` with the intermediates that the dimensions ``keys`` need, in successive projections; one Arrow function visits the texts."""
     needs = {k for d in DIMENSIONS if d.key in keys for k in d.needs} | ({"_concl"} if "alignment" in keys else set())
     df = df.withColumns({"_x": t.extract_thinking(F.col("thinking"))})
     df = df.withColumns({"_lower": F.lower("_x"), "_tokens": t.token_count(F.col("_x"))})
+    if "_plain" in needs:
+        df = df.withColumns({"_plain": t.without_code(F.col("_x"))})
+    if parts := tuple(p for k, p in _SCANNED.items() if k in keys):
+        df = df.withColumn("_seen", scan(parts, config.num_chunks, config.min_words_per_chunk))
     for columns in _stages(config, df.sparkSession.sparkContext.applicationId):
         if wanted := {k: v for k, v in columns.items() if k in needs}:
             df = df.withColumns(wanted)

@@ -53,17 +53,23 @@ def with_inputs(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("problem", "thinking", "answer")})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it lies in fewer files than there are: a text costs far more to score than to move. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if not df.isStreaming and 0 < len(df.inputFiles()) < cores else df
+
+
 def dimensions(df: DataFrame, config: Config | None = None, keys: tuple[str, ...] = tuple(d.key for d in DIMENSIONS)) -> DataFrame:
     """``df`` with a struct per dimension in ``keys``: its score and diagnostics. What others need is not computed."""
     config = (config or Config()).sane()
     chosen = [d for d in DIMENSIONS if d.key in keys]
-    staged = stage(with_inputs(df), config, tuple(d.key for d in chosen))
+    staged = stage(with_inputs(spread(df)), config, tuple(d.key for d in chosen))
     made = {f"_d_{d.key}": F.struct(*(v.alias(k) for k, v in d.make(config).items())) for d in chosen}
     return staged.withColumns(made)
 
 
 def score(df: DataFrame, config: Config | None = None, keep_extra: bool = False) -> DataFrame:
-    """The scored trace of each row: OUTPUT columns, and the other columns of ``df`` too if ``keep_extra``. A narrow projection without a shuffle."""
+    """The scored trace of each row: OUTPUT columns, and the other columns of ``df`` too if ``keep_extra``. A narrow projection; only few files are spread over the cores first."""
     config = config or Config()
     d = dimensions(df, config)
     raw = composite({x.key: F.col(f"_d_{x.key}.score") for x in DIMENSIONS}, config)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
 from .dimensions import DIMENSIONS
+from .order import first_rows, quantiles
 
 #: The eight dimensions of a scored trace.
 SHOWN = tuple(d.column for d in DIMENSIONS if d.key != "accuracy_efficiency")
@@ -35,13 +36,12 @@ def how_many(n: int, percent: float) -> int:
 
 
 def top_percent(scored: DataFrame, percent: float, **limits: float | None) -> DataFrame:
-    """The best ``percent`` of the rows that pass the gates, by quality, ties by id.
+    """The best ``percent`` of the rows that pass the gates, by quality, ties by id; in no order.
 
-    The size comes from one count; the order then needs ids and scores alone.
+    Counts find the last score that stays and, among rows that have it, the last id; the rest is a filter.
     """
     passed = gates(scored, **limits)
-    k = how_many(passed.count(), percent)
-    return passed.orderBy(F.desc("quality_score"), "id").limit(k)
+    return first_rows(passed, -F.col("quality_score").cast("double"), "id", how_many(passed.count(), percent))
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -76,13 +76,16 @@ def sweep(df: DataFrame, key: str, correct: str = "correct", descending: bool =
 
 def random_keep(df: DataFrame, k: int, replicate: int) -> DataFrame:
     """``k`` rows in the order of a hash of id and replicate: a random drop that every engine repeats."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.col("id"), F.lit(str(replicate)))), "id").limit(k)
+    digest = F.md5(F.concat_ws(":", F.col("id"), F.lit(str(replicate))))
+    # its first 48 bits are a number; only rows that agree in them are told apart by the rest
+    kept = first_rows(df.withColumn("_digest", F.concat(digest, F.lit(" "), F.col("id"))), F.conv(F.left("_digest", F.lit(12)), 16, 10).cast("double"), "_digest", k)
+    return kept.drop("_digest")
 
 
 def above_quantile(scored: DataFrame, q: float = 0.7, column: str = "quality_score") -> DataFrame:
     """Rows not below the interpolated quantile."""
-    cut = scored.agg(F.percentile(F.col(column).cast("double"), F.lit(q)).alias("cut"))
-    return scored.join(F.broadcast(cut), F.col(column).cast("double") >= F.col("cut")).drop("cut")
+    (cut,) = quantiles(scored, column, [q])
+    return scored.filter(F.col(column).cast("double") >= F.lit(cut))
 
 
 def _issues() -> Column:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 
 def unpivot(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (keep..., dimension, v) for each of ``columns``."""
@@ -57,9 +59,10 @@ def with_all(df: DataFrame, by: str) -> DataFrame:
 
 def fit_knots(df: DataFrame, column: str = "raw_score") -> DataFrame:
     """101 interpolated quantiles: the table that calibration uses."""
-    qs = [p / 100 for p in range(101)]
-    got = df.agg(F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, qs))).alias("knots"), F.avg((F.col(column) >= 70).cast("int")).alias("at_least_70"))
-    return got.select(F.posexplode("knots").alias("p", "knot"), "at_least_70")
+    got = quantiles(df, column, [p / 100 for p in range(101)])
+    share = df.agg(F.avg((F.col(column) >= 70).cast("int"))).first()[0]
+    rows = [(p, x, share) for p, x in enumerate(got) if x is not None]
+    return df.sparkSession.createDataFrame(rows, "p int, knot double, at_least_70 double")
 
 
 def bootstrap_auc(df: DataFrame, value: str, correct: str = "correct", replicates: int = 400, other: str | None = None) -> DataFrame:
