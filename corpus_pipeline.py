@@ -45,35 +45,37 @@ def _numbered(docs: DataFrame, row: str, at: str) -> DataFrame:
     return keep(docs.withColumn(row, F.monotonically_increasing_id()), f"{at}/rows", compression="zstd")
 
 
-def _without(rows: DataFrame, row: str, groups: DataFrame, pick: Callable[[Column], Column], at: str) -> DataFrame:
+def _without(rows: DataFrame, row: str, groups: DataFrame, pick: Callable[[Column], Column], at: str, begun: int) -> DataFrame:
     """``rows`` less all but one of each group: ``pick`` chooses by id, then number; rows without an id count as smallest.
 
-    ``groups``: (row, grp) of the rows that share a group with others.
+    ``groups``: (row, grp) of the rows that share a group with others. Only ``rows`` and what goes is read later, so all
+    that the operator wrote since ``begun`` is removed.
     """
     named = keep(groups.join(rows.select(F.col(row), F.col("doc_id").cast("long").alias("id")), row), f"{at}/named")
     stays = keep(named.groupBy("grp").agg(pick(F.struct("id", row)).getField(row).alias("stays"), F.count("*").alias("size")), f"{at}/stays")
     gone = keep(join_skewed(named, stays, ["grp"], "size", named.count()).filter(F.col(row) != F.col("stays")).select(row), f"{at}/gone")
+    clear(rows.sparkSession, begun, but=at)
     return rows.join(small(gone), row, "left_anti").drop(row)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts (null and empty ones are equal), the one with the largest id; of several such any one."""
     ship(spark)
-    at = shared_folder(spark, "copies")
+    begun, at = made(), shared_folder(spark, "copies")
     (row,) = unused(docs, "_row")
     rows = _numbered(docs, row, at)
     found = exact_dedup(rows, row).filter("group_size > 1")
-    return _without(rows, row, found.select(row, F.col("keep_id").alias("grp")), F.max, at).select(docs.columns)
+    return _without(rows, row, found.select(row, F.col("keep_id").alias("grp")), F.max, at, begun).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group that links connect, the one with the smallest id; of several such any one. Null, empty and white texts link with nothing."""
     ship(spark)
-    at = shared_folder(spark, "near")
+    begun, at = made(), shared_folder(spark, "near")
     (row,) = unused(docs, "_row")
     rows = _numbered(docs, row, at)
     found = jaccard_join(rows, row).filter("n_similar > 0")
-    return _without(rows, row, found.select(row, F.col("component_id").alias("grp")), F.min, at).select(docs.columns)
+    return _without(rows, row, found.select(row, F.col("component_id").alias("grp")), F.min, at, begun).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
