@@ -102,7 +102,10 @@ def first_rows(df: DataFrame, key: Column, tie: str, k: int) -> DataFrame:
     need = k - below
     if tied.count() <= need:
         return df.filter(key <= value)
-    cut = tied.orderBy("t").rdd.zipWithIndex().filter(lambda x: x[1] == need - 1).map(lambda x: x[0][0]).first()
+    if need <= FIRST:
+        cut = tied.orderBy("t").limit(need).agg(F.max("t")).first()[0]
+    else:
+        cut = tied.orderBy("t").rdd.zipWithIndex().filter(lambda x: x[1] == need - 1).map(lambda x: x[0][0]).first()
     same = F.col(tie).eqNullSafe(F.lit(cut))
     smaller = F.coalesce(F.col(tie) < F.lit(cut), F.col(tie).isNull()) & ~same if cut is not None else F.lit(False)
     counts = tied.agg(F.count_if(F.col("t").eqNullSafe(F.lit(cut))), F.count_if(F.coalesce(F.col("t") < F.lit(cut), F.col("t").isNull()) & ~F.col("t").eqNullSafe(F.lit(cut))) if cut is not None else F.lit(0)).first()
