@@ -6,10 +6,11 @@ candidate by its format and its context: what stands next to it, how its run of
 near words stand that speak of such data or of other numbers. A threshold calibrated on held-out
 candidates selects. Spans that the plain patterns find always stay; the trees only add.
 
-The trees learn from a bounded sample of documents. Made-up data in disguise are planted in stretches of
-them, as are look-alikes such as dates, order and serial numbers: planted data are positive. Negative are
-look-alikes, candidates that cut planted data wrongly, and all candidates of the documents themselves that
-touch no plain span. So no label repeats a feature.
+The trees learn from all documents; those of a quarter set the threshold instead. Made-up data in disguise
+are planted in stretches of each, as are look-alikes such as dates, order and serial numbers: planted data
+are positive. Negative are look-alikes, candidates that cut planted data wrongly, and all candidates of the
+documents themselves that touch no plain span. So no label repeats a feature. Bins, trees and threshold come
+from sums over all these candidates, wherever they lie.
 """
 
 from __future__ import annotations
@@ -22,17 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Boosted
-from .shared import slices
+from .boosting import BLOCK_ROWS, CODES, EQUAL_ROWS, STEP, Bins, Block, Boosted, Near, Spread, codes, counts, grown, total
+from .shared import clear, keep, made, shared_folder, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the trees are trained on, about; the candidates of a quarter of them set the threshold.
-SAMPLE = 1_500
-#: Candidates of the sample that are used at most.
-TRAIN = 40_000
+#: Candidates to learn from that the driver takes; more stay where they are, which gives the same trees.
+NEAR_ROWS = 200_000
 PRECISION = 0.99
 #: Share of the held-out documents' own candidates that may be selected.
 MOST_OWN = 0.001
@@ -47,13 +47,14 @@ _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_RUN = re.compile(r"\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9])*+")
+# \+?\(?[0-9] and more digits, written so that the search jumps to what can begin it; so is _LOOSE_IP
+_RUN = re.compile(r"[+(0-9](?:(?<=[0-9])|(?<=\()[0-9]|(?<=\+)\(?[0-9])(?:[ ().\-/]{0,2}[0-9])*+")
 _GROUP = re.compile(r"\+?\(?[0-9]++")
 #: Digits that a card and a phone number may have; 15 and the prefix 00 for the latter.
 CARD_DIGITS, PHONE_DIGITS = (12, 19), (7, 17)
 #: Groups of a stretch within a run; a whole run may have as many as digits.
 GROUPS = 8
-_LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?: ?(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\.) ?| dot )[0-9]{1,3}){3}(?![0-9])")
+_LOOSE_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]{0,2}(?:(?: ?(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\.) ?| dot )[0-9]{1,3}){3}(?![0-9])")
 # what every match of _LOOSE_MAIL ends in, from its at on; texts without it are not scanned for local parts
 _HINT = re.compile(r"(?:(?:\(at\)|\[at\]|\{at\}|<at>|@) ?| at )[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?|\.| dot )[A-Za-z0-9-]", re.I)
 _LOOSE_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?(?:\(at\)|\[at\]|\{at\}|<at>|@) ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?|\.| dot )[A-Za-z0-9-]{1,63}){1,5}", re.I)
@@ -70,10 +71,14 @@ _CUES = tuple(
         r"version|release|section|isbn|issn|doi|page|pages|no|nr|id|order|license|serial|ticket|invoice|part|item|model|ref|date|since|total|look|arrive\w*|meet|visit|see|hosted|chapter|build|patent|commande|seite|página|bestellung|pedido",
     )
 )
-#: Made-up data and look-alikes that each document of the sample receives.
+#: Made-up data and look-alikes that each document receives.
 PLANTED = 2
 #: Candidates whose features are held at once.
 AT_ONCE = 50_000
+#: Stands between texts that are read as one; no pattern crosses it and no context is seen beyond it.
+BETWEEN = "\n" * (AROUND + 2)
+#: Scores from here on, in log-odds, are 1.
+SURE = 37
 FEATURES = 40
 _NONE = np.zeros(0, dtype=np.int64)
 
@@ -269,7 +274,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
 
 
 def _digits_of(rng: random.Random, n: int) -> str:
-    return str(rng.randint(1, 9)) + "".join(str(rng.randint(0, 9)) for _ in range(n - 1))
+    return str(rng.randrange(10 ** (n - 1), 10**n))
 
 
 def _name(rng: random.Random) -> str:
@@ -326,35 +331,53 @@ def _made_up(rng: random.Random) -> tuple[int, str, str, str]:
     return -1, before, span, ""
 
 
-def examples(text: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From one document: features (FEATURES, rows), labels, and whether a row is of the document itself."""
-    columns, label, own = [], [], []
+def examples_of(texts: list[str], seeds: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From documents: features (FEATURES, rows), labels, whether a row is of the document itself, and the document's place."""
+    pieces, planted, size = [], [], 0
+    for i, (text, seed) in enumerate(zip(texts, seeds, strict=True)):
+        c = Candidates(text)
+        if len(c):
+            at = c.without(base_spans(text))
+            for part in (at[k : k + AT_ONCE] for k in range(0, len(at), AT_ONCE)):
+                yield c.features(part), np.zeros(len(part), dtype=bool), np.ones(len(part), dtype=bool), np.full(len(part), i)
+        rng = random.Random(seed)
+        piece = ""
+        for _ in range(PLANTED):
+            kind, before, span, after = _made_up(rng)
+            p = text.find(" ", rng.randrange(len(text) + 1)) + 1  # a word's beginning, or the text's
+            piece += text[max(0, p - 2 * AROUND) : p] + before
+            planted.append((i, size + len(piece), kind, size + len(piece) + len(span)))
+            piece += f"{span}{after}{rng.choice([' ', '. ', ', '])}{text[p : p + 2 * AROUND]} "
+        pieces.append(piece + BETWEEN)
+        size += len(pieces[-1])
+    text = "".join(pieces)
+    c = Candidates(text)
+    if not len(c):
+        return
+    free = c.without(base_spans(text))
+    free = free[np.argsort(c.start[free], kind="stable")]
+    start, end = c.start[free], c.end[free]
+    longest = int((end - start).max(initial=0))
+    rows, label, doc = [], [], []
+    for i, s, kind, e in planted:
+        lo, hi = np.searchsorted(start, [s - longest, e])  # all that may touch it
+        at = free[lo:hi][end[lo:hi] > s]
+        rows.append(at)
+        label.append((c.kind[at] == kind) & (np.abs(c.start[at] - s) <= 1) & (c.end[at] == e))
+        doc.append(np.full(len(at), i))
+    at, y, place = np.concatenate(rows), np.concatenate(label), np.concatenate(doc)
+    for k in range(0, len(at), AT_ONCE):
+        part = slice(k, k + AT_ONCE)
+        yield c.features(at[part]), y[part], np.zeros(len(at[part]), dtype=bool), place[part]
 
-    def add(c: Candidates, at: np.ndarray, y: np.ndarray, itself: bool) -> None:
-        if len(at):
-            columns.append(c.features(at))
-            label.append(y)
-            own.append(np.full(len(at), itself))
 
-    c = Candidates(text)
-    at = c.without(base_spans(text))
-    add(c, at, np.zeros(len(at), dtype=bool), True)
-    rng = random.Random(seed)
-    piece, put = "", []
-    for _ in range(PLANTED):
-        kind, before, span, after = _made_up(rng)
-        p = text.find(" ", rng.randrange(len(text) + 1)) + 1  # a word's beginning, or the text's
-        piece += text[max(0, p - 2 * AROUND) : p] + before
-        put.append((len(piece), kind, len(piece) + len(span)))
-        piece += f"{span}{after}{rng.choice([' ', '. ', ', '])}{text[p : p + 2 * AROUND]} "
-    c = Candidates(piece)
-    free = c.without(base_spans(piece))
-    for s, kind, e in put:
-        at = free[(c.start[free] < e) & (c.end[free] > s)]
-        add(c, at, (c.kind[at] == kind) & (np.abs(c.start[at] - s) <= 1) & (c.end[at] == e), False)
-    if not columns:
+def examples(text: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From one document: features (FEATURES, rows), labels, and whether a row is of the document itself."""
+    got = [g[:3] for g in examples_of([text], [seed])]
+    if not got:
         return np.zeros((FEATURES, 0), dtype=np.float32), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
-    return np.concatenate(columns, axis=1), np.concatenate(label), np.concatenate(own)
+    x, y, own = zip(*got, strict=True)
+    return np.concatenate(x, axis=1), np.concatenate(y), np.concatenate(own)
 
 
 class Model:
@@ -410,39 +433,125 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Trains on about ``sample`` documents, chosen by a hash of their ids, and TRAIN of their candidates."""
-    n = docs.count()
-    share = min(1 << 20, max(1, (sample << 20) // max(1, n)))
-    chosen = docs.select(F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)).alias("h"), F.col(text_col).cast("string").alias("text")).filter(F.pmod("h", F.lit(1 << 20)) < share)
+def _held(seed: int) -> bool:
+    return (seed >> 24) % 4 == 0
+
+
+def staged(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the candidates of all documents, as (held, n, body): codes of the features, label and whether it is the document's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        wait: dict[bool, list[np.ndarray]] = {False: [], True: []}
+
+        def block(held: bool) -> pa.RecordBatch:
+            rows = np.concatenate(wait[held], axis=1)
+            wait[held] = []
+            return pa.RecordBatch.from_arrays([pa.array([held]), pa.array([rows.shape[1]], pa.int32()), pa.array([zip_.compress(rows.tobytes())], pa.binary())], names=["held", "n", "body"])
+
         for batch in slices(batches):
-            got = [(h, *examples(t.as_py() or "", h)) for h, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            rows = [(h, bool(y[k]), bool(own[k]), x[:, k].tobytes()) for h, x, y, own in got for k in range(len(y))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], names=["h", "y", "own", "x"])
+            seeds = batch.column(0).to_pylist()
+            out = np.array([_held(h) for h in seeds])
+            for x, y, own, place in examples_of([t.as_py() or "" for t in batch.column(1)], seeds):
+                rows = np.concatenate([codes(x), [y.astype(np.uint8), own.astype(np.uint8)]])
+                for held in (False, True):
+                    mine = rows[:, out[place] == held]
+                    if mine.shape[1]:
+                        wait[held].append(mine)
+                        if sum(w.shape[1] for w in wait[held]) >= BLOCK_ROWS:
+                            yield block(held)
+        yield from (block(held) for held in (False, True) if wait[held])
+
+    chosen = docs.select(F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)).alias("h"), F.col(text_col).cast("string").alias("text"))
+    return keep(chosen.mapInArrow(run, "held boolean, n int, body binary"), path, compression="none")
+
 
-    # the sample is bounded, so it may be spread: making examples costs more than moving it
-    chosen = chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    got = chosen.mapInArrow(run, "h long, y boolean, own boolean, x binary").orderBy(F.xxhash64("h", "x")).limit(TRAIN).collect()
-    return train(np.array([np.frombuffer(r.x, dtype=np.float32) for r in got]), np.array([r.y for r in got], dtype=bool), np.array([r.own for r in got], dtype=bool), np.array([(r.h >> 24) % 4 == 0 for r in got], dtype=bool))
+def _rows(n: int, body: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype=np.uint8).reshape(FEATURES + 2, n)
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (_rows(n, body.as_py()) for n, body in zip(batch.column("n").to_pylist(), batch.column("body"), strict=True))
+
+
+def _many(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The rows of ``parts`` in arrays of about EQUAL_ROWS."""
+    wait: list[np.ndarray] = []
+    for part in parts:
+        wait.append(part)
+        if sum(w.shape[1] for w in wait) >= EQUAL_ROWS:
+            yield np.concatenate(wait, axis=1)
+            wait = []
+    if wait:
+        yield np.concatenate(wait, axis=1)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_rows: int = NEAR_ROWS) -> Model:
+    """Trains on the candidates of all documents; a quarter of these, by a hash of their ids, set the threshold.
+
+    Up to ``near_rows`` candidates to learn from are added up by the driver, more by tasks. Seeds are hashes of ids,
+    and sums are of whole numbers, so the model depends on the rows alone.
+    """
+    begun = made()
+    at = shared_folder(docs.sparkSession, "candidates")
+    table = staged(docs, at, id_col, text_col)
+    learn, held = table.filter("not held").select("n", "body"), table.filter("held").select("n", "body")
+    parts = table.rdd.getNumPartitions()
+    count = total(learn, parts, lambda batch: sum(counts(rows) for rows in _read(batch)), (FEATURES + 2, CODES)).astype(np.int64)
+    wrong, right = count[FEATURES, :2].tolist()
+    model = Model(None, 2.0)
+    if wrong and right:
+        bins, trees = Bins(count[:FEATURES]), Boosted(depth=4)
+        base = trees.start(wrong + right, right)
+        if wrong + right <= near_rows:
+            rows = np.concatenate([_rows(r.n, r.body) for r in learn.collect()], axis=1)
+            trees.grow(Near(list(Block.of(rows[:FEATURES], rows[FEATURES], bins, base)), bins))
+        else:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for rows in _many(r for batch in batches for r in _read(batch)):
+                    for b in Block.of(rows[:FEATURES], rows[FEATURES], bins, base):
+                        yield pa.RecordBatch.from_arrays([pa.array([len(b.y)], pa.int32()), pa.array([b.packed()], pa.binary())], names=["n", "body"])
+
+            trees.grow(Spread(learn.mapInArrow(run, Spread.SCHEMA), bins))
+        model = Model(trees, _calibrated(held, trees.steps, bins, base))
+    clear(docs.sparkSession, begun)
+    return model
+
+
+def _calibrated(held: DataFrame, trees: list, bins: Bins, base: int) -> float:
+    """The threshold by all candidates of the held-out documents, counted by score; scores below 0.5 can't be it and are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _read(batch):
+                f = grown(bins.of(r[:FEATURES]), trees, np.full(r.shape[1], base, dtype=np.int32))
+                score, to = np.unique(np.clip(f, -1, SURE * STEP), return_inverse=True)
+                sums = [np.bincount(to, w, minlength=len(score)).astype(np.int64) for w in (np.ones(len(f)), r[FEATURES], r[FEATURES + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (score, *sums)], names=["f", "n", "y", "own"])
+
+    got = held.mapInArrow(run, "f long, n long, y long, own long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n", "y", "own"))).collect()
+    f, n, y, own = (np.array([r[c] for r in got], dtype=np.int64) for c in ("f", "n", "y", "own"))
+    return threshold(1 / (1 + np.exp(f / -STEP)), y, own, n)
 
 
 def train(x: np.ndarray, y: np.ndarray, own: np.ndarray, held: np.ndarray) -> Model:
     """Trees on the rows that aren't held out; those held out set the threshold."""
     if len(set(y[~held].tolist())) < 2:
         return Model(None, 2.0)
-    trees = Boosted(depth=4).fit(x[~held].astype(np.float64), y[~held].astype(np.float64))
+    trees = Boosted(depth=4).fit(x[~held], y[~held])
     return Model(trees, threshold(trees.score(x[held]), y[held], own[held]))
 
 
-def threshold(p: np.ndarray, y: np.ndarray, own: np.ndarray, precision: float = PRECISION, most: float = MOST_OWN) -> float:
-    """The smallest score from 0.5 on at which the candidates selected reach ``precision`` and no more than a share ``most`` of the documents' own are among them; 2 if there is none."""
+def threshold(p: np.ndarray, y: np.ndarray, own: np.ndarray, size: np.ndarray | None = None, precision: float = PRECISION, most: float = MOST_OWN) -> float:
+    """The smallest score from 0.5 on at which the candidates selected reach ``precision`` and no more than a share ``most`` of the documents' own are among them; 2 if there is none.
+
+    With ``size`` each score stands for so many candidates, and ``y`` and ``own`` are numbers of them.
+    """
     if not len(p):
         return 2.0
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    right = np.cumsum(y[order]) / np.cumsum(np.ones(len(p)) if size is None else size[order])
     good = (right >= precision) & (np.cumsum(own[order]) <= most * own.sum()) & (p[order] >= 0.5) & np.r_[p[order][1:] != p[order][:-1], True]
     return float(p[order][np.flatnonzero(good)[-1]]) if good.any() else 2.0
 
@@ -451,7 +560,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The counts and base_sha256 are of the plain patterns' spans; spans lists these and what the trees
@@ -459,7 +568,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     stay as they are; an empty table gives an empty result; other columns are not looked at. Without
     candidates to learn from, nothing is added. Whole texts are read, in time linear in their length.
     """
-    model = model or fit(docs, id_col, text_col, sample)
+    model = model or fit(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -472,9 +581,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return out.withColumnRenamed("row_id", id_col)
 
 
-def redact_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
+def redact_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: Model | None = None) -> DataFrame:
     """``docs`` with every span in ``text_col`` replaced by its kind in brackets; all rows and columns stay, null texts too."""
-    model = model or fit(docs, id_col, text_col, sample)
+    model = model or fit(docs, id_col, text_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
