@@ -14,17 +14,23 @@ TAGS = ("think", "reasoning", "thought")
 #: A terminator ends a sentence once it is the eleventh character or a later one.
 SENTENCE = r"(?s)\G.{10,}?[.!?。！？]"
 _SPACES = r"(?U)\s+"
+#: All that (?U)\s matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_u(c: Column) -> Column:
-    """Without Unicode white space at both ends; linear in runs of it."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)(?<!\s)\s+$", "")
+    """Without Unicode white space at both ends."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def extract_thinking(c: Column) -> Column:
     """What stands in the first of the tags that is opened and closed again, trimmed; else the whole text."""
-    found = [F.when(F.regexp_like(c, F.lit(f"(?s)<{t}>.*?</{t}>")), F.regexp_extract(c, f"(?s)<{t}>(.*?)</{t}>", 1)) for t in TAGS]
-    return trim_u(F.coalesce(*found, c))
+
+    def inside(t: str) -> Column:
+        after = F.substr(c, F.instr(c, F.lit(f"<{t}>")) + len(t) + 2)
+        return F.when(F.contains(c, F.lit(f"<{t}>")) & F.contains(after, F.lit(f"</{t}>")), F.substring_index(after, f"</{t}>", 1))
+
+    return trim_u(F.coalesce(*map(inside, TAGS), c))
 
 
 def once(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -122,18 +128,21 @@ def restarts(c: Column, low: Column) -> Column:
 
 def without_code(c: Column) -> Column:
     """Lines outside of fenced code, each ended by a line feed."""
-    lines = F.regexp_replace(c, "\r\n", "\n")
+    lines = F.replace(c, F.lit("\r\n"), F.lit("\n"))
     lines = F.when((lines == "") | F.endswith(lines, F.lit("\n")), lines).otherwise(F.concat(lines, F.lit("\n")))
     fenced = F.regexp_replace(lines, r"(?U)(?s)(?<=\n|^)[^\S\n]*```[^\n]*\n.*?(?:(?<=\n)[^\S\n]*```[^\n]*\n|\z)", "")
     return F.when(F.contains(c, F.lit("```")), fenced).otherwise(lines)
 
 
 def chunks(c: Column, n: int) -> Column:
-    """``n`` chunks of equal length in characters; the last takes the rest."""
-    total = F.char_length(c)
-    k = F.least(F.lit(n), total)
-    size = F.floor(total / k).cast("int")
-    return F.when(total > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda i: c.substr(i * size + 1, F.when(i + 1 == k, total).otherwise(size)))).otherwise(F.array().cast("array<string>"))
+    """``n`` chunks of equal length in characters; the last takes the rest. ``c`` and its length are taken once, not for every chunk."""
+
+    def cut(c: Column, total: Column) -> Column:
+        k = F.least(F.lit(n), total)
+        size = F.floor(total / k).cast("int")
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda i: c.substr(i * size + 1, F.when(i + 1 == k, total).otherwise(size)))
+
+    return once(c, lambda c: once(F.char_length(c), lambda total: F.when(total > 0, cut(c, total)).otherwise(F.array().cast("array<string>"))))
 
 
 def normalize_answer(c: Column) -> Column:

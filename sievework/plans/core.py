@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions import text as t
 from ..operators.dimensions import DIMENSIONS, complexity
-from ..operators.score import calibrate, dimensions, score, score_detailed
+from ..operators.score import calibrate, dimensions, score, score_detailed, spread
 from . import oracle as o
 from .traces import traces
 
@@ -39,10 +39,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _columns(name: str, source: str, spark_cols: Callable[[], dict[str, Column]], sql_cols: dict[str, str], keys: tuple[str, ...] = ("id",)) -> None:
-    """A query of columns over the traces; ``source`` names the CTE they come from."""
+def _columns(name: str, source: str, spark_cols: Callable[[], dict[str, Column]], sql_cols: dict[str, str], keys: tuple[str, ...] = ("id",), staged: Callable[[], Column] | None = None) -> None:
+    """A query of columns over the traces; ``source`` names the CTE they come from. ``staged`` makes the column ``s``, for what several columns read."""
     sql = o.over_scored(f"SELECT {', '.join([*keys, *(f'{v} AS {k}' for k, v in sql_cols.items())])} FROM {source}")
-    query(name, sql)(lambda spark, sf: traces(spark, sf).withColumn("x", t.extract_thinking(F.col("thinking"))).withColumn("low", F.lower("x")).withColumn("h", F.col("low").cast("binary")).select(*keys, *(v.alias(k) for k, v in spark_cols().items())))
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = spread(traces(spark, sf)).withColumn("x", t.extract_thinking(F.col("thinking"))).withColumn("low", F.lower("x")).withColumn("h", F.col("low").cast("binary"))
+        if staged:
+            df = df.withColumn("s", staged())
+        return df.select(*keys, *(v.alias(k) for k, v in spark_cols().items()))
+
+    query(name, sql)(run)
 
 
 def _texts() -> None:
@@ -55,7 +62,7 @@ def _texts() -> None:
     c("q_txt_6_sentences", "s3", lambda: {"n": F.size(t.sentences(F.col("x"))), "first": F.get(F.transform(t.sentences(F.col("x")), t.normalize), F.lit(0))}, {"n": "len(sents)::INT", "first": "sents[1]"})
     c("q_txt_7_paragraphs", "s3", lambda: {"n": F.size(t.paragraphs(F.col("x"))), "all": F.array_join(t.paragraphs(F.col("x")), "|")}, {"n": "len(paras)::INT", '"all"': "coalesce(array_to_string(paras, '|'), '')"})
     c("q_txt_8_no_code", "s3", lambda: {"p": t.without_code(F.col("x"))}, {"p": "plain_"})
-    c("q_txt_9_chunks", "s3", lambda: {"n": F.size(t.chunks(t.without_code(F.col("x")), 10)), "lens": F.array_join(F.transform(t.chunks(t.without_code(F.col("x")), 10), F.char_length), ",")}, {"n": "CAST(least(10, length(plain_)) AS INT)", "lens": "coalesce(array_to_string(list_transform(range(least(10, length(plain_))), lambda i: CASE WHEN i + 1 = least(10, length(plain_)) THEN length(plain_) - i * (length(plain_) // least(10, length(plain_))) ELSE length(plain_) // least(10, length(plain_)) END), ','), '')"})
+    c("q_txt_9_chunks", "s3", lambda: {"n": F.size("s"), "lens": F.array_join(F.transform("s", F.char_length), ",")}, {"n": "CAST(least(10, length(plain_)) AS INT)", "lens": "coalesce(array_to_string(list_transform(range(least(10, length(plain_))), lambda i: CASE WHEN i + 1 = least(10, length(plain_)) THEN length(plain_) - i * (length(plain_) // least(10, length(plain_))) ELSE length(plain_) // least(10, length(plain_)) END), ','), '')"}, staged=lambda: t.chunks(t.without_code(F.col("x")), 10))
     c("q_txt_10_tail", "s3", lambda: {"s": t.tail(F.col("h"))}, {"s": "tail"})
     c("q_txt_11_final", "s3", lambda: {"s": t.final(F.col("h"))}, {"s": "fin"})
     c("q_txt_12_windows", "s3", lambda: {"late": t.late(F.col("h")), "mid": t.middle(F.col("h"))}, {"late": "late", "mid": "mid"})
