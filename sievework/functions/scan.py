@@ -29,7 +29,7 @@ PARTS = {
 }
 _WHITE = "\t-\r \x85\xa0  -     　"
 #: White space to ``str.split`` only.
-_CONTROL = re.compile("[\x1c-\x1f]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile(f"[^{_WHITE}]+")
 _SENTENCE = re.compile(r".{10,}?[.!?。！？]", re.S)
 _CJK = re.compile(CJK)
@@ -54,7 +54,7 @@ _HIGH = re.compile("[\u0400-\uffff]")
 
 def words(text: str) -> list[str]:
     """Words between white space as Unicode has it."""
-    return _WORD.findall(text) if _CONTROL.search(text) else text.split()
+    return _WORD.findall(text) if any(c in text for c in _CONTROL) else text.split()
 
 
 def tokens(text: str, found: list[str]) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import bench, select, spans, stats
-from ..operators.score import score
+from ..operators.score import score, spread
 from . import oracle as o
 from .core import query, r4, table
 from .traces import traces
@@ -103,18 +103,15 @@ _PIECES = f"pc AS (SELECT id, unnest(list_concat(regexp_extract_all(x, '(?s).{{1
 
 
 def _x(spark: SparkSession, sf: str) -> DataFrame:
-    return traces(spark, sf).select("id", t.extract_thinking(F.col("thinking")).alias("x"))
+    return spread(traces(spark, sf)).select("id", t.extract_thinking(F.col("thinking")).alias("x"))
 
 
 add("q_ann_3_repetitions", o.over_scored('SELECT id, start, (start + strlen(piece))::INT AS "end", nth::INT AS nth FROM rp WHERE nth > 1', _PIECES), lambda spark, sf: spans.repetitions(_x(spark, sf)).select("id", "start", "end", "nth"))
 add("q_ann_6_groups", o.over_scored("SELECT id, regexp_replace(norm, '[.!?,;:。！？，；：]+$', '') AS key, count(*) + 1 AS total, min(start) AS first FROM rp WHERE nth > 1 GROUP BY 1, 2", _PIECES), lambda spark, sf: spans.repetition_groups(_x(spark, sf)))
-query("q_ann_1_spans")(lambda spark, sf: spans.annotate(traces(spark, sf)))
+query("q_ann_1_spans")(lambda spark, sf: spans.annotate(spread(traces(spark, sf))))
 
 
-@query("q_ann_5_segments")
-def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    x = _x(spark, sf)
-    return spans.segments(spans.annotate(traces(spark, sf)), x.select("id", F.octet_length("x").alias("len")).filter("len > 0"))
+query("q_ann_5_segments")(lambda spark, sf: spans.text_segments(spread(traces(spark, sf))))
 
 
 # benchmark tables made from the documents

@@ -1,9 +1,15 @@
 """Steps that once did the same work over and over, or all of it in one task."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text as t
+from sievework.operators import spans
+from sievework.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -22,3 +28,19 @@ def test_trim_and_tags(spark, x):
     old = F.regexp_replace(F.regexp_replace("x", r"(?U)^\s+", ""), r"(?U)(?<!\s)\s+$", "")
     r = spark.createDataFrame([(x,)], "x string").select(old.alias("a"), t.trim_u(F.col("x")).alias("b"), t.extract_thinking(F.concat(F.lit("<thought>q</thought></think> <think> é"), "x", F.lit(" <think></think></think>"))).alias("c"), t.extract_thinking(F.concat(F.lit("</reasoning><think><reasoning>"), "x")).alias("d")).first()
     assert r.a == r.b and r.c == ("é" + x + " <think>").strip() and r.d.startswith("</reasoning><think><reasoning>")
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_move_no_rows(spark):
+    plan = executed(catalog.QUERIES["q_ann_5_segments"](spark, SF))
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") <= 1  # few files are spread
+
+
+def test_segments_of_any_spans(spark):
+    rows = [("a", -3, 2, "x"), ("a", 1, 4, "y"), ("a", 1, 9, "x"), ("a", 5, 5, "z"), ("b", 0, 9, "x")]
+    got = spans.segments(spark.createDataFrame(rows, "id string, start int, end int, kind string"), spark.createDataFrame([("a", 6), ("c", 2)], "id string, len int"))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 1, "x"), ("a", 1, 2, "x,y"), ("a", 2, 4, "x,y"), ("a", 4, 6, "x"), ("c", 0, 2, "")]
+    assert "Join LeftOuter" in plan(got) and ">=" not in plan(got)
