@@ -44,3 +44,24 @@ def test_segments_of_any_spans(spark):
     got = spans.segments(spark.createDataFrame(rows, "id string, start int, end int, kind string"), spark.createDataFrame([("a", 6), ("c", 2)], "id string, len int"))
     assert sorted(map(tuple, got.collect())) == [("a", 0, 1, "x"), ("a", 1, 2, "x,y"), ("a", 2, 4, "x,y"), ("a", 4, 6, "x"), ("c", 0, 2, "")]
     assert "Join LeftOuter" in plan(got) and ">=" not in plan(got)
+
+
+def test_spans_of_a_text_of_many():
+    one = "Hmm, let me see. İ, to verify: é. "
+    n = 20_000
+    began = time.process_time()
+    found = spans.spans_of(one * n)
+    parts = spans.sweep(len(one.encode()) * n, [s[:3] for s in found])
+    assert time.process_time() - began < 20
+    size = len(one.encode())
+    assert found[:3] == [(0, 11, "restart", "starts over"), (21, 30, "verification", "checks itself"), (size, size + 11, "restart", "starts over")]
+    assert sum(s[2] == "restart" for s in found) == n and parts[0] == (0, 11, "restart") and parts[-1][1] == size * n
+    raw = (one * n).encode()
+    assert all(raw[a:b].lower() == b"to verify" for a, b, kind, _ in found[:999] if kind == "verification")
+
+
+def test_odd_and_plain_letters_start_over():
+    found = lambda x: [(a, b) for a, b, kind, _ in spans.phrase_spans(x) if kind == "restart"]
+    assert found("I need to re\u017ftart, I need to RESTART") == [(0, 18), (20, 37)]
+    plain = "Await, let me. No wait, actually\x1c wait,\x1cactually 1wait actually WAIT\t\x0blet me. That's wrong, I. hmmm, let me redo"
+    assert [(a + 3, b + 3) for a, b in found(plain)] == found("é " + plain) and len(found(plain)) == 7
