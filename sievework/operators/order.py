@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells of the first grid; each later round splits the cells that still matter into so many.
@@ -47,10 +47,13 @@ def _found(values: DataFrame, low: float, high: float, ranks: list[int]) -> dict
         rows = values if before is None else values.filter(before.isin(list(open_)))
         parent = F.lit(0).cast("long") if before is None else before
         got = rows.groupBy(parent.alias("p"), cell(cells).alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        by_cell: dict[int, list] = {}
+        for r in got:
+            by_cell.setdefault(r.p, []).append(r)
         next_: dict[int, tuple[int, list[int]]] = {}
         for p, (below, wanted) in open_.items():
             wanted = list(wanted)
-            for r in sorted((r for r in got if r.p == p), key=lambda r: r.lo):
+            for r in sorted(by_cell.get(p, ()), key=lambda r: r.lo):
                 inside = [k for k in wanted if k < below + r.n]
                 if inside:
                     wanted = wanted[len(inside) :]
@@ -69,6 +72,22 @@ def _found(values: DataFrame, low: float, high: float, ranks: list[int]) -> dict
     return done
 
 
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with columns of sums over the rows before each one within ``by``, in ``order``, which leaves no ties.
+
+    Rows are sorted by range, each range adds up its own and the totals of the ranges before come on top, so no task
+    holds a group. The ranges are kept on disk, as they aren't the same when they are drawn again.
+    """
+    ranged = df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    own = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "_p").agg(*(F.sum(c).alias(f"_t_{k}") for k, c in sums.items()))
+    offsets = totals.select(*(F.col(c).alias(f"_b_{i}") for i, c in enumerate((*by, "_p"))), *(F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_o_{k}") for k in sums))
+    inside = ranged.withColumns({f"_i_{k}": F.coalesce(F.sum(c).over(own), F.lit(0)) for k, c in sums.items()})
+    same = [F.col(c).eqNullSafe(F.col(f"_b_{i}")) for i, c in enumerate((*by, "_p"))]
+    return inside.join(offsets, same).select(*df.columns, *((F.col(f"_i_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums))
+
+
 def quantiles(df: DataFrame, column: str | Column, qs: Sequence[float]) -> list[float | None]:
     """Quantiles interpolated between neighbours; null without values."""
     x = F.col(column) if isinstance(column, str) else column

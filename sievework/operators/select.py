@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
 from .dimensions import DIMENSIONS
-from .order import first_rows, quantiles
+from .order import first_rows, quantiles, running
 
 #: The eight dimensions of a scored trace.
 SHOWN = tuple(d.column for d in DIMENSIONS if d.key != "accuracy_efficiency")
@@ -63,8 +63,7 @@ def sweep(df: DataFrame, key: str, correct: str = "correct", descending: bool =
     """
     order = F.desc("k") if descending else F.asc("k")
     grouped = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("int")).alias("good"))
-    running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = grouped.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    placed = running(grouped, (), [order], {"before": F.col("n")})
     totals = grouped.agg(F.sum("n").alias("total"), F.sum("good").alias("all_good"))
     pct = F.explode_outer(F.array(*map(F.lit, percents))).alias("percent")
     cuts = totals.select("*", pct).withColumn("keep", F.bround(F.col("total") * F.col("percent") / 100, 0).cast("long"))
@@ -119,5 +118,4 @@ def recommendation(scored: DataFrame) -> DataFrame:
 
 def systematic(scored: DataFrame, every: int, by: str = "domain") -> DataFrame:
     """Every ``every``-th row by quality within each value of ``by``."""
-    w = Window.partitionBy(by).orderBy(F.desc("quality_score"), "id")
-    return scored.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") % every == 0).drop("_n")
+    return running(scored, (by,), [F.desc("quality_score"), F.asc("id")], {"_n": F.lit(1)}).filter((F.col("_n") + 1) % every == 0).drop("_n")

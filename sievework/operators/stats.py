@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import quantiles
+from .order import quantiles, running
 
 
 def unpivot(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -21,16 +21,14 @@ def unpivot(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ())
 def auc(long: DataFrame, by: tuple[str, ...] = ("dimension",), value: str = "v", correct: str = "correct") -> DataFrame:
     """Area under the ROC curve per ``by``, ties by half; null if a class is empty."""
     counts = long.groupBy(*by, value).agg(F.count_if(correct).alias("pos"), F.count_if(~F.col(correct)).alias("neg"))
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    placed = running(counts, by, [F.col(value)], {"below": F.col("neg")})
     return placed.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(*by, F.try_divide("a", F.col("p") * F.col("n")).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
 def average_rank(df: DataFrame, value: str, by: tuple[str, ...], out: str) -> DataFrame:
     """``df`` with the average rank of ``value`` within ``by``, from counts per distinct value."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+    ranks = running(counts, by, [F.col(value)], {"_before": F.col("_n")}).select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 

@@ -63,7 +63,7 @@ on_scored("q_srt_1_full", "SELECT id, row_number() OVER (ORDER BY quality_score
 _IS = " || ".join(f"CASE WHEN {c} < {k} THEN '{c.removesuffix('_score')},' ELSE '' END" for c, k in select.ISSUES.items())
 on_scored("q_srt_2_worst", f"SELECT id, {o.r4('quality_score')} AS q, rtrim({_IS}, ',') AS issues, left(thinking, 500) AS preview FROM scored ORDER BY quality_score, id LIMIT 10", lambda s: select.worst(s).select("id", r4(F.col("quality_score")).alias("q"), F.array_join("issues", ",").alias("issues"), "preview"))
 on_scored("q_srt_8_lowest", "SELECT id, left(replace(thinking, chr(10), ' '), 280) AS preview FROM scored ORDER BY quality_score, id LIMIT 3", lambda s: s.orderBy("quality_score", "id").limit(3).select("id", F.left(F.replace(F.col("thinking"), F.lit("\n"), F.lit(" ")), F.lit(280)).alias("preview")))
-on_scored("q_win_8_systematic", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY domain ORDER BY quality_score DESC, id) AS n FROM scored) WHERE n % 25 = 0", lambda s: select.systematic(s, 25).select("id"))
+on_scored("q_win_8_systematic", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY domain ORDER BY quality_score DESC, id) AS n FROM scored) WHERE n % 25 = 0", lambda s: select.systematic(s.select("id", "domain", "quality_score"), 25).select("id"))
 on_scored("q_set_1_union", "SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT id FROM scored UNION ALL SELECT id FROM scored WHERE quality_score < 20)", lambda s: s.select("id").unionByName(s.filter("quality_score < 20").select("id")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")))
 on_scored("q_set_3_dropped", "SELECT id FROM scored EXCEPT SELECT id FROM scored WHERE quality_score >= 40", lambda s: s.join(s.filter("quality_score >= 40").select("id"), "id", "left_anti").select("id"))
 on_scored("q_set_4_distinct", "SELECT DISTINCT domain FROM scored", lambda s: s.select("domain").distinct())

@@ -1,13 +1,20 @@
 """Steps that once did the same work over and over, or all of it in one task."""
 
+import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions import scan
 from sievework.functions import text as t
-from sievework.operators import spans
+from sievework.operators import select, spans, stats
+from sievework.operators.dimensions import complexity
+from sievework.operators.order import running
+from sievework.operators.score import score
 from sievework.plans import catalog
+from sievework.plans.traces import traces
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +72,20 @@ def test_odd_and_plain_letters_start_over():
     assert found("I need to re\u017ftart, I need to RESTART") == [(0, 18), (20, 37)]
     plain = "Await, let me. No wait, actually\x1c wait,\x1cactually 1wait actually WAIT\t\x0blet me. That's wrong, I. hmmm, let me redo"
     assert [(a + 3, b + 3) for a, b in found(plain)] == found("é " + plain) and len(found(plain)) == 7
+
+
+def windows(df):
+    return [line for line in plan(df).splitlines() if "Window [" in line]
+
+
+def test_no_task_ranks_a_group(spark):
+    rows = [(str(k % 2) if k % 3 else None, float(k * 7 % 101), k) for k in range(101)]
+    df = spark.createDataFrame(rows, "g string, v double, n int").repartition(3)
+    got = running(df, ("g",), [F.desc("v")], {"s": F.col("n"), "c": F.lit(1)})
+    want = {(g, v): (sum(m for h, u, m in rows if h == g and u > v), sum(h == g and u > v for h, u, _ in rows)) for g, v, _ in rows}
+    assert {(r.g, r.v): (r.s, r.c) for r in got.collect()} == want
+    d = df.withColumn("correct", F.col("n") % 2 == 0).withColumn("id", F.col("n").cast("string")).withColumnRenamed("v", "quality_score").withColumnRenamed("g", "domain")
+    for x in (got, stats.auc(d, ("domain",), "quality_score"), stats.average_rank(d, "quality_score", ("domain",), "r"), stats.spearman(d, "quality_score", "n", ("domain",)), select.sweep(d, "quality_score"), select.systematic(d, 3)):
+        assert windows(x) and all("_p#" in line for line in windows(x))
+    order = sorted((x for x in rows if x[0] == "1"), key=lambda x: -x[1])
+    assert sorted(r.n for r in select.systematic(d, 3).filter("domain = '1'").collect()) == sorted(x[2] for x in order[2::3])
