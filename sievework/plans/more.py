@@ -34,6 +34,12 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).join(labels, "id").withColumns({c: F.col(c).cast("double") for c in ("quality_score", "raw_score", *SHOWN)})
 
 
+def known(spark: SparkSession, sf: str) -> DataFrame:
+    """``labelled`` without the scores, for queries that read none: nothing has to be scored."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), (F.col("quality") == 1).alias("correct"))
+    return traces(spark, sf).join(labels, "id")
+
+
 def add(name: str, sql: str, f) -> None:
     query(name, sql)(f)
 
@@ -75,7 +81,7 @@ def on_labelled(name: str, body: str, f, *ctes: str) -> None:
     add(name, o.over_scored(body, _LABELLED, *ctes), lambda spark, sf: f(labelled(spark, sf)))
 
 
-on_labelled("q_jon_1_labels", "SELECT id, correct FROM lab", lambda d: d.select("id", "correct"))
+add("q_jon_1_labels", o.over_scored("SELECT id, correct FROM lab", _LABELLED), lambda spark, sf: known(spark, sf).select("id", "correct"))
 on_labelled("q_flt_5_sweep", """SELECT percent::INT AS percent, keep, round(kept_good / keep, 6) AS kept_accuracy, round((all_good - kept_good) / (total - keep), 6) AS dropped_accuracy FROM (
     SELECT percent, keep, total, all_good, sum(greatest(least(keep - before, n), 0) * good / n::DOUBLE) AS kept_good FROM (
       SELECT g.*, coalesce(sum(n) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total, sum(good) OVER () AS all_good
@@ -93,7 +99,7 @@ on_labelled("q_agg_15_spearman", "SELECT domain, count(*) AS n, round(corr(rx, r
 on_labelled("q_win_1_ranks", "SELECT id, rank() OVER (ORDER BY raw_score) + (count(*) OVER (PARTITION BY raw_score) - 1) / 2.0::DOUBLE AS r FROM lab", lambda d: stats.average_rank(d.select("id", "raw_score", F.lit(0).alias("g")), "raw_score", ("g",), "r").select("id", F.col("r").cast("double").alias("r")))
 on_labelled("q_agg_21_pairs", "SELECT signal, count(*) FILTER (g > b) AS wins, count(*) FILTER (g < b) AS losses, count(*) FILTER (g = b) AS ties FROM pr GROUP BY 1", lambda d: stats.discordant_pairs(d, _ALL), "pp AS (SELECT problem_id, count(*) AS n, count(*) FILTER (correct) AS good, " + ", ".join(f"max(CASE WHEN correct THEN {c} END) AS g_{c}, max(CASE WHEN NOT correct THEN {c} END) AS b_{c}" for c in _ALL) + " FROM lab GROUP BY 1 HAVING count(*) = 2 AND count(*) FILTER (correct) = 1), pr AS (" + " UNION ALL ".join(f"SELECT '{c}' AS signal, g_{c} AS g, b_{c} AS b FROM pp" for c in _ALL) + ")")
 on_labelled("q_agg_22_standardize", "SELECT id, round((raw_score - avg(raw_score) OVER ()) / CASE WHEN stddev_pop(raw_score) OVER () > 0 THEN stddev_pop(raw_score) OVER () ELSE 1 END, 4) AS z FROM lab", lambda d: stats.standardized(d.select("id", "raw_score"), ("raw_score",)).select("id", F.round("raw_score", 4).alias("z")))
-on_labelled("q_agg_26_label_stats", "SELECT model, count(*) AS n, round(avg(correct::INT) * 100, 4) AS pct FROM lab GROUP BY 1", lambda d: d.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")) * 100, 4).alias("pct")))
+add("q_agg_26_label_stats", o.over_scored("SELECT model, count(*) AS n, round(avg(correct::INT) * 100, 4) AS pct FROM lab GROUP BY 1", _LABELLED), lambda spark, sf: known(spark, sf).groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")) * 100, 4).alias("pct")))
 query("q_agg_19_bootstrap")(lambda spark, sf: stats.bootstrap_auc(labelled(spark, sf), "quality_score", replicates=2000))
 query("q_agg_20_paired_bootstrap")(lambda spark, sf: stats.bootstrap_auc(labelled(spark, sf).withColumn("length", -F.col("thinking_word_count").cast("double")), "quality_score", replicates=2000, other="length"))
 query("q_agg_23_logistic")(lambda spark, sf: stats.logistic_by_group(labelled(spark, sf), "model", SHOWN))

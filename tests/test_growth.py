@@ -89,3 +89,8 @@ def test_no_task_ranks_a_group(spark):
         assert windows(x) and all("_p#" in line for line in windows(x))
     order = sorted((x for x in rows if x[0] == "1"), key=lambda x: -x[1])
     assert sorted(r.n for r in select.systematic(d, 3).filter("domain = '1'").collect()) == sorted(x[2] for x in order[2::3])
+
+
+@pytest.mark.parametrize("name", ["q_agg_26_label_stats", "q_jon_1_labels"])
+def test_what_reads_no_score_scores_nothing(spark, name):
+    assert "thinking" not in plan(catalog.QUERIES[name](spark, SF)) and "InMemory" not in plan(catalog.QUERIES[name](spark, SF))
