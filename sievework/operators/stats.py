@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import quantiles, running
@@ -63,26 +64,142 @@ def fit_knots(df: DataFrame, column: str = "raw_score") -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "p int, knot double, at_least_70 double")
 
 
+#: Rows whose weights are drawn at once, so that they stay in a core's cache.
+AT_ONCE = 64
+_P1, _P2, _P3, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+_PART = "dimension string, p int, n int, absent boolean, v double, area binary, pos binary, neg binary"
+
+
+def poisson(hashed: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) weights: a row for each of ``hashed``, xxhash64 of an id, a column for each replicate r from 1. They come from the 30 lowest bits of xxhash64(id, r)."""
+    x = (hashed.view("u8") + (_P5 + np.uint64(4)))[:, None] ^ (np.arange(1, replicates + 1, dtype="u8") * _P1)
+    x = (x << np.uint64(23) | x >> np.uint64(41)) * _P2 + _P3
+    x ^= x >> np.uint64(33)
+    x *= _P2
+    x ^= x >> np.uint64(29)
+    x *= _P3
+    x ^= x >> np.uint64(32)
+    low = (x & np.uint64((1 << 30) - 1)).astype("u4")
+    w = np.zeros(low.shape, "u1")
+    for s in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]):
+        w += low >= np.uint32(math.floor(float(s) * (1 << 30) - 0.5) + 1)  # (low + 0.5) / 2^30 > s
+    return w
+
+
+class _Curve:
+    """Of each replicate: twice the area under values that came in order, the positives and the negatives."""
+
+    def __init__(self, replicates: int) -> None:
+        self.area, self.pos, self.neg = np.zeros((3, replicates), "i8")
+
+    def add(self, area: np.ndarray | int, pos: np.ndarray, neg: np.ndarray) -> None:
+        """What comes next: a single value, of area ``pos * neg``, or the curve of several."""
+        self.area += area + 2 * self.neg * pos
+        self.pos += pos
+        self.neg += neg
+
+    def values(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Values in order, a row each."""
+        below = np.cumsum(neg, axis=0) - neg
+        self.add((pos * (2 * below + neg)).sum(axis=0), pos.sum(axis=0), neg.sum(axis=0))
+
+
+def _parts(replicates: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a range of sorted rows (p, dimension, absent, v, h, good, bad), for each dimension: its first value, the curve of those between, and its last value, as other ranges may have the same."""
+    same = lambda a, b: a[0] == b[0] and (a[1] == b[1] or a[1] != a[1] and b[1] != b[1])  # noqa: E731  # NaN is one value
+    kinds = pa.schema([("dimension", pa.string()), ("p", pa.int32()), ("n", pa.int32()), ("absent", pa.bool_()), ("v", pa.float64()), ("area", pa.binary()), ("pos", pa.binary()), ("neg", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dimension, p, open_, curve, out = None, 0, None, None, []
+
+        def put(key: tuple | None, area: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+            absent, v = key or (None, None)
+            out.append({"dimension": dimension, "p": p, "n": len(out), "absent": absent, "v": v, "area": area.tobytes(), "pos": pos.tobytes(), "neg": neg.tobytes()})
+
+        def close() -> None:
+            if curve is not None:
+                put(None, curve.area, curve.pos, curve.neg)
+            if open_ is not None:
+                put(open_[0], open_[1] * open_[2], open_[1], open_[2])
+
+        for batch in batches:
+            names, absent = batch["dimension"].to_pylist(), batch["absent"].to_pylist()
+            v, h, good, bad = batch["v"].fill_null(0.0).to_pylist(), batch["h"].to_numpy(), *(batch[c].to_numpy(zero_copy_only=False).astype("u1")[:, None] for c in ("good", "bad"))
+            p = batch["p"][0].as_py() if names else p
+            a = 0
+            while a < len(names):
+                if names[a] != dimension:
+                    close()
+                    dimension, open_, curve = names[a], None, None
+                b = a + 1
+                while b < min(a + AT_ONCE, len(names)) and names[b] == dimension:
+                    b += 1
+                keys = list(zip(absent[a:b], v[a:b]))
+                starts = [0, *(k for k in range(1, b - a) if not same(keys[k - 1], keys[k]))]
+                w = poisson(h[a:b], replicates)
+                pos, neg = (np.add.reduceat(w * flag[a:b], starts, axis=0, dtype="i8") for flag in (good, bad))
+                if open_ is not None:
+                    if same(open_[0], keys[0]):
+                        pos[0] += open_[1]
+                        neg[0] += open_[2]
+                    elif curve is None:
+                        curve = _Curve(replicates)
+                        put(open_[0], open_[1] * open_[2], open_[1], open_[2])
+                    else:
+                        curve.add(open_[1] * open_[2], open_[1], open_[2])
+                full = len(starts) - 1  # values that are complete
+                if full and curve is None:
+                    curve = _Curve(replicates)
+                    put(keys[0], pos[0] * neg[0], pos[0], neg[0])
+                    curve.values(pos[1:full], neg[1:full])
+                else:
+                    curve is not None and curve.values(pos[:full], neg[:full])
+                open_ = (keys[starts[-1]], pos[-1], neg[-1])
+                a = b
+        close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return run
+
+
+def _replicates(df: DataFrame, columns: tuple[str, ...], correct: str, replicates: int) -> dict[str, list[float | None]]:
+    """For each of ``columns`` the AUC of every replicate."""
+    long = unpivot(df.withColumns({"h": F.xxhash64("id"), "good": F.coalesce(F.col(correct), F.lit(False)), "bad": F.coalesce(~F.col(correct), F.lit(False))}), columns, ("h", "good", "bad"))
+    # equal values may lie in several ranges, so that none grows with the rows that share a value
+    ranged = long.repartitionByRange(4 * df.sparkSession.sparkContext.defaultParallelism, "dimension", "v", "h").sortWithinPartitions("dimension", "v")
+    rows = ranged.select(F.spark_partition_id().alias("p"), "dimension", F.col("v").isNull().alias("absent"), "v", "h", "good", "bad").mapInArrow(_parts(replicates), _PART).collect()
+    out = {}
+    for c in columns:
+        curve, open_ = _Curve(replicates), None
+        for r in sorted((r for r in rows if r.dimension == c), key=lambda r: (r.p, r.n)):
+            area, pos, neg = (np.frombuffer(r[k], "i8") for k in ("area", "pos", "neg"))
+            key = None if r.absent is None else (r.absent, str(r.v))
+            if open_ and key == open_[0]:
+                open_ = (key, open_[1] + pos, open_[2] + neg)
+                continue
+            if open_:
+                curve.add(open_[1] * open_[2], open_[1], open_[2])
+                open_ = None
+            if key is None:
+                curve.add(area, pos, neg)
+            else:
+                open_ = (key, pos, neg)
+        if open_:
+            curve.add(open_[1] * open_[2], open_[1], open_[2])
+        out[c] = [float(a) / 2 / (float(p) * float(n)) if p and n else None for a, p, n in zip(curve.area, curve.pos, curve.neg, strict=True)]
+    return out
+
+
 def bootstrap_auc(df: DataFrame, value: str, correct: str = "correct", replicates: int = 400, other: str | None = None) -> DataFrame:
     """AUC of ``value`` and its 95 per cent interval; with ``other`` the interval of the difference of both on the same resamples.
 
-    Weights are Poisson(1), drawn from a hash of id and replicate. Counts per value and replicate are
-    aggregated before the curve is built, so the resamples are never gathered as rows.
+    Weights are Poisson(1), drawn from a hash of id and replicate. Rows are sorted by range once; each range draws the
+    weights of its rows, a few at a time, and returns sums per replicate, so no row is ever repeated.
     """
-    columns = (value, other) if other else (value,)
-    u = (F.pmod(F.xxhash64("id", "r"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + (u > float(s)).cast("int")
-    drawn = df.select("id", correct, *columns).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).filter("w > 0")
-    long = unpivot(drawn, columns, ("r", "w", correct))
-    counts = long.groupBy("r", "dimension", "v").agg(F.sum(F.when(F.col(correct), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(~F.col(correct), F.col("w")).otherwise(0)).alias("neg"))
-    before = Window.partitionBy("r", "dimension").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    per = placed.groupBy("r", "dimension").agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
-    if other:
-        per = per.groupBy("r").agg((F.max(F.when(F.col("dimension") == value, F.col("auc"))) - F.max(F.when(F.col("dimension") == other, F.col("auc")))).alias("auc"))
+    got = _replicates(df, (value, other) if other else (value,), correct, replicates)
+    aucs = got[value] if not other else [None if a is None or b is None else a - b for a, b in zip(got[value], got[other], strict=True)]
+    per = df.sparkSession.createDataFrame([(a,) for a in aucs], "auc double")
     return per.agg(F.avg("auc").alias("mean"), F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("auc").alias("replicates"))
 
 

@@ -91,6 +91,34 @@ def test_no_task_ranks_a_group(spark):
     assert sorted(r.n for r in select.systematic(d, 3).filter("domain = '1'").collect()) == sorted(x[2] for x in order[2::3])
 
 
+def test_weights_are_those_of_the_hash(spark):
+    ids = [f"t{k}" for k in range(300)]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").select("id", F.xxhash64("id").alias("h"), F.explode(F.sequence(F.lit(1), F.lit(70))).alias("r"))
+    low = np.array([r.x for r in df.orderBy("id", "r").select(F.pmod(F.xxhash64("id", "r"), F.lit(1 << 30)).alias("x")).collect()]).reshape(300, 70)
+    steps = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(8)])
+    h = np.array([r.h for r in df.filter("r = 1").orderBy("id").collect()])
+    assert (stats.poisson(h, 70) == sum(((low + 0.5) / (1 << 30) > s).astype(int) for s in steps)).all()
+
+
+def test_bootstrap_repeats_no_row(spark):
+    rng = random.Random(1)
+    rows = [(f"t{k}", rng.choice([1.0, 2.0, 2.0, 3.0, rng.random(), float("nan"), None]), rng.choice([True, False, None])) for k in range(900)]
+    df = spark.createDataFrame(rows, "id string, v double, correct boolean").repartition(5).withColumn("w", F.lit(1.0))
+    got = stats._replicates(df, ("v", "w"), "correct", 30)
+    h = {r.id: r.h for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    weights = stats.poisson(np.array([h[i] for i, _, _ in rows]), 30).astype(int)
+    rank = {None: -2.0}
+    v = np.array([rank.get(x, 9.0 if x != x else x) for _, x, _ in rows])
+    pos, neg = (np.array([c is kind for _, _, c in rows]) for kind in (True, False))
+    for r in range(30):
+        p, n = weights[:, r] * pos, weights[:, r] * neg
+        want = sum(a * (n[v < x].sum() + n[v == x].sum() / 2) for a, x in zip(p, v)) / (p.sum() * n.sum())
+        assert got["v"][r] == pytest.approx(want, abs=1e-12) and got["w"][r] == 0.5
+    assert stats._replicates(df.limit(0), ("v",), "correct", 3) == {"v": [None] * 3}
+    row = stats.bootstrap_auc(df, "v", replicates=30, other="w").first()
+    assert row.replicates == 30 and row.mean == pytest.approx(np.mean(got["v"]) - 0.5)
+
+
 @pytest.mark.parametrize("name", ["q_agg_26_label_stats", "q_jon_1_labels"])
 def test_what_reads_no_score_scores_nothing(spark, name):
     assert "thinking" not in plan(catalog.QUERIES[name](spark, SF)) and "InMemory" not in plan(catalog.QUERIES[name](spark, SF))
