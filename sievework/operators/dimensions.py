@@ -46,7 +46,7 @@ def _efficiency(c: Config) -> dict[str, Column]:
 def _language(c: Config) -> dict[str, Column]:
     off = F.col("_off")
     score = F.when(off <= 1, f32(100.0)).otherwise(F.greatest(minus(100.0, times(minus(off, f32(1.0)), 15.0)), f32(0.0)))
-    named = F.when(F.char_length("_plain") < 100, "unknown_short").when(F.size("_langs") == 0, "unknown_no_valid_chunks").otherwise(F.col("_top.lang"))
+    named = F.when(F.col("_plain_chars") < 100, "unknown_short").when(F.size("_langs") == 0, "unknown_no_valid_chunks").otherwise(F.col("_top.lang"))
     return {"score": score, "detected_language": named, "inconsistent_chunks": off, "is_mixed": off > 1}
 
 
@@ -71,8 +71,11 @@ def complexity(problem: Column) -> Column:
     """How demanding a problem looks, from 0 to 1."""
     low = F.lower(problem)
     math = F.char_length(problem) - F.char_length(F.translate(problem, lexicon.MATH_SIGNS, "")) + t.count_phrases(low, lexicon.MATH_WORDS)
-    code = t.count_phrases(low, lexicon.CODE_WORDS)
-    parts = plus(plus(F.least(over(t.token_count(problem), 150.0), f32(0.4)), F.least(times(math, 0.1), f32(0.3))), F.least(times(code, 0.15), f32(0.3)))
+    return _demand(t.token_count(problem), math, t.count_phrases(low, lexicon.CODE_WORDS))
+
+
+def _demand(tokens: Column, math: Column, code: Column) -> Column:
+    parts = plus(plus(F.least(over(tokens, 150.0), f32(0.4)), F.least(times(math, 0.1), f32(0.3))), F.least(times(code, 0.15), f32(0.3)))
     return F.least(parts, f32(1.0))
 
 
@@ -117,8 +120,8 @@ class Dimension:
 
 DIMENSIONS = (
     Dimension("efficiency", "efficiency", "efficiency_score", ("_restarts", "_density"), _efficiency),
-    Dimension("language", "language_consistency", "language_score", ("_plain", "_langs", "_top", "_off"), _language),
-    Dimension("alignment", "answer_alignment", "answer_alignment_score", ("_bin", "_tail", "_final", "_snippet", "_convergence", "_echo", "_delimiter", "_settled"), _alignment),
+    Dimension("language", "language_consistency", "language_score", ("_plain_chars", "_langs", "_top", "_off"), _language),
+    Dimension("alignment", "answer_alignment", "answer_alignment_score", ("_convergence", "_echo", "_delimiter", "_settled"), _alignment),
     Dimension("structure", "structural_clarity", "structural_score", ("_strong", "_medium", "_weak", "_double", "_breaks", "_effective", "_structure"), _structure),
     Dimension("repetition", "repetition", "repetition_score", ("_paragraphs", "_distinct", "_sentences", "_unique", "_thrice"), _repetition),
     Dimension("overthinking", "overthinking", "overthinking_score", ("_complexity", "_expected", "_ratio"), _overthinking),
@@ -131,42 +134,40 @@ DIMENSIONS = (
 @functools.lru_cache(maxsize=4)
 def _stages(c: Config, app: str) -> list[dict[str, Column]]:
     """For one application: intermediates in the order in which they build on each other; nothing large is written twice in an expression."""
-    low, n, b = (F.col(k) for k in ("_lower", "_tokens", "_bin"))
+    n = F.col("_tokens")
     count = F.col("_concl")
     langs = F.col("_langs")
     seen = F.col("_seen")
     snippet = F.col("_snippet")
     numeric = F.regexp_like(snippet, F.lit(r"^[\p{N}.\-+/=%±×−÷]{1,2}$")) & F.regexp_like(snippet, F.lit(r"\p{N}"))
     alone = (F.char_length(snippet) == 1) & (F.octet_length(snippet) > 1)
-    end = F.regexp_replace(F.col("_final"), r"(?U)(?<!\s)\s+$", "")
     counts = F.transform(F.array_distinct(langs), lambda k: F.struct((-F.size(F.filter(langs, lambda y: y == k))).alias("n"), k.alias("lang")))
     return [
-        {"_bin": low.cast("binary"), "_complexity": complexity(F.col("problem")), "_snippet": F.left(F.lower("answer"), F.lit(60)), "_right": t.answers_match(F.col("answer"), F.col("expected_answer")),
+        {"_complexity": _demand(seen["problem_tokens"], seen["math"], seen["code"]), "_right": t.answers_match(F.col("answer"), F.col("expected_answer")),
          "_thrift": F.least(F.greatest(minus(1.0, over(F.greatest(n - c.token_min, F.lit(0)), float(c.token_max - c.token_min))), f32(0.2)), f32(1.0)),
-         "_restarts": seen["restarts"], "_strong": seen["strong"], "_medium": seen["medium"], "_weak": seen["weak"], "_double": seen["double"], "_breaks": seen["breaks"], "_concl": seen["concl"], "_langs": seen["langs"],
+         "_restarts": seen["restarts"], "_strong": seen["strong"], "_medium": seen["medium"], "_weak": seen["weak"], "_double": seen["double"], "_breaks": seen["breaks"], "_concl": seen["concl"], "_langs": seen["langs"], "_plain_chars": seen["plain_chars"],
          "_late_e": seen["late_e"], "_late_i": seen["late_i"], "_mid_e": seen["mid_e"], "_mid_i": seen["mid_i"], "_delimiter": F.when(seen["delimiters"] > 0, 20).otherwise(0), "_settled": F.when(seen["uncertain"] > 0, 0).otherwise(20),
          "_paragraphs": seen["paragraphs"], "_distinct": seen["distinct_paragraphs"], "_sentences": seen["sentences"], "_thrice": seen["thrice"]},
-        {"_tail": t.tail(b), "_final": t.final(b), "_density": over(F.col("_restarts"), F.greatest(over(n, 1000.0), f32(1.0))), "_effective": plus(F.col("_double"), times(F.greatest(F.col("_breaks") - F.col("_double") * 2, F.lit(0)), 0.5)), "_expected": plus(f32(500.0), times(F.col("_complexity"), 4000.0)),
+        {"_density": over(F.col("_restarts"), F.greatest(over(n, 1000.0), f32(1.0))), "_effective": plus(F.col("_double"), times(F.greatest(F.col("_breaks") - F.col("_double") * 2, F.lit(0)), 0.5)), "_expected": plus(f32(500.0), times(F.col("_complexity"), 4000.0)),
          "_unique": F.when(F.col("_paragraphs") == 0, f32(1.0)).otherwise(over(F.col("_distinct"), F.col("_paragraphs")))},
-        {"_echo": F.when(((F.char_length(snippet) >= 3) | numeric | alone) & F.contains("_tail", snippet), 25).otherwise(0), "_top": F.array_min(counts), "_ratio": over(n, F.col("_expected")),
+        {"_echo": F.when(((F.char_length(snippet) >= 3) | numeric | alone) & seen["echoed"], 25).otherwise(0), "_top": F.array_min(counts), "_ratio": over(n, F.col("_expected")),
          "_structure": F.least(plus(times(over(F.col("_strong") * 3 + F.col("_medium") * 2 + F.col("_weak"), F.greatest(over(n, 100.0), f32(1.0))), 5.0), F.least(times(F.col("_effective"), 8.0), f32(40.0))), f32(100.0))},
-        {"_convergence": F.least(F.when(count == 0, 0).when(count == 1, 15).when(count == 2, 22).otherwise(25) + F.when(F.regexp_like(end, F.lit(r"[.!。！]\z")), 10).otherwise(0), F.lit(35)), "_off": F.when((F.char_length("_plain") < 100) | (F.size(langs) == 0), 0).otherwise(F.size(langs) + F.col("_top.n"))},
+        {"_convergence": F.least(F.when(count == 0, 0).when(count == 1, 15).when(count == 2, 22).otherwise(25) + F.when(seen["closed"], 10).otherwise(0), F.lit(35)), "_off": F.when((F.col("_plain_chars") < 100) | (F.size(langs) == 0), 0).otherwise(F.size(langs) + F.col("_top.n"))},
     ]
 
 
 #: What a visit of the text counts for each dimension.
-_SCANNED = {"efficiency": "restarts", "language": "languages", "alignment": "ending", "structure": "markers", "repetition": "repeats", "verification": "checks"}
+_SCANNED = {"efficiency": "restarts", "language": "languages", "alignment": "ending", "structure": "markers", "repetition": "repeats", "overthinking": "problem", "verification": "checks"}
 
 
 def stage(df: DataFrame, config: Config, keys: tuple[str, ...]) -> DataFrame:
     """``df`` with the intermediates that the dimensions ``keys`` need, in successive projections; one Arrow function visits the texts."""
     needs = {k for d in DIMENSIONS if d.key in keys for k in d.needs} | ({"_concl"} if "alignment" in keys else set())
     df = df.withColumns({"_x": t.extract_thinking(F.col("thinking"))})
-    df = df.withColumns({"_lower": F.lower("_x"), "_tokens": t.token_count(F.col("_x"))})
-    if "_plain" in needs:
-        df = df.withColumns({"_plain": t.without_code(F.col("_x"))})
+    df = df.withColumns({"_lower": F.lower("_x"), "_snippet": F.left(F.lower("answer"), F.lit(60))})
     if parts := tuple(p for k, p in _SCANNED.items() if k in keys):
-        df = df.withColumn("_seen", scan(parts, config.num_chunks, config.min_words_per_chunk))
+        df = df.withColumn("_seen", scan(("tokens", *parts), config.num_chunks, config.min_words_per_chunk, snippet="_snippet", problem="problem"))
+    df = df.withColumns({"_tokens": F.col("_seen.tokens") if parts else t.token_count(F.col("_x"))})
     for columns in _stages(config, df.sparkSession.sparkContext.applicationId):
         if wanted := {k: v for k, v in columns.items() if k in needs}:
             df = df.withColumns(wanted)

@@ -74,6 +74,28 @@ def test_odd_and_plain_letters_start_over():
     assert [(a + 3, b + 3) for a, b in found(plain)] == found("é " + plain) and len(found(plain)) == 7
 
 
+def test_scoring_reads_a_text_once(spark):
+    text = plan(score(traces(spark, SF)).select("raw_score", "quality_score"))
+    assert r"\S+" not in text and "translate(" not in text and r"```[^\n]*" not in text
+
+
+def test_scan_says_what_more_columns_say(spark):
+    rng = random.Random(4)
+    words = ["```", "\n", "\r\n", "\n ```py\n", "　```\n", "\x1c", "a", "word ", "é", "。", "! ", ". \x85", "４", "汉", "\\frac", "∑", "class ", "Class ", "İ", "x^{2}", " ", "\u2028"]
+    rows = [(k, *("".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 60, 400]))) for _ in range(2)), rng.choice(["4", "word", "４", "汉", "", "a a"])) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, _x string, problem string, s string").withColumn("_lower", F.lower("_x")).withColumn("b", F.col("_lower").cast("binary")).cache()
+    got = df.withColumn("seen", scan.scan(("tokens", "ending", "languages", "problem"), 5, 4, snippet="s", problem="problem"))
+    x, q, low = F.col("_x"), F.col("problem"), F.lower("problem")
+    want = {
+        "tokens": t.token_count(x), "plain_chars": F.char_length(t.without_code(x)), "echoed": F.contains(t.tail(F.col("b")), F.col("s")), "closed": F.regexp_like(t.trim_u(t.final(F.col("b"))), F.lit(r"[.!。！]\z")),
+        "problem_tokens": t.token_count(q), "math": F.char_length(q) - F.char_length(F.translate(q, "≠≥≤∞√∏∑∫", "")) + t.count_phrases(low, scan.lexicon.MATH_WORDS), "code": t.count_phrases(low, scan.lexicon.CODE_WORDS),
+    }
+    for field, column in want.items():
+        a, c = ({r.k: r.v for r in d.collect()} for d in (got.select("k", F.col(f"seen.{field}").alias("v")), df.select("k", column.alias("v"))))
+        assert a == c, (field, [(k, a[k], c[k]) for k in a if a[k] != c[k]][:3])
+    assert df.select(complexity(q).alias("c")).filter("c > 0").count()
+
+
 def windows(df):
     return [line for line in plan(df).splitlines() if "Window [" in line]
 
