@@ -110,11 +110,11 @@ def phrase_array(phrases: tuple[str, ...]) -> Column:
 
 def count_phrases(c: Column, phrases: tuple[str, ...]) -> Column:
     """Occurrences of each phrase, summed; phrases may overlap one another."""
-    return F.aggregate(phrase_array(phrases), F.lit(0), lambda n, p: n + count_phrase(c, p))
+    return once(c, lambda c: F.aggregate(phrase_array(phrases), F.lit(0), lambda n, p: n + count_phrase(c, p)))
 
 
 def distinct_phrases(c: Column, phrases: tuple[str, ...]) -> Column:
-    return F.size(F.filter(phrase_array(phrases), lambda p: F.contains(c, p)))
+    return once(c, lambda c: F.size(F.filter(phrase_array(phrases), lambda p: F.contains(c, p))))
 
 
 def restarts(c: Column, low: Column) -> Column:
