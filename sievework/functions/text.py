@@ -52,9 +52,13 @@ def normalize(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Trimmed sentences: pieces that end in a terminator, and the rest if it has three words."""
-    pieces = F.transform(F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0)), trim_u)
-    rest = F.filter(F.array(trim_u(F.regexp_replace(c, SENTENCE, ""))), lambda r: token_count(r) >= 3)
-    return F.concat(pieces, rest)
+
+    def trimmed(pieces: Column) -> Column:
+        at = F.aggregate(pieces, F.lit(1), lambda n, p: n + F.char_length(p))  # where the rest begins
+        rest = F.filter(F.array(trim_u(F.substr(c, at))), lambda r: token_count(r) >= 3)
+        return F.concat(F.transform(pieces, trim_u), rest)
+
+    return once(F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0)), trimmed)
 
 
 def paragraphs(c: Column) -> Column:

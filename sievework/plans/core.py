@@ -59,7 +59,7 @@ def _texts() -> None:
     c("q_txt_3_cjk", "s1", lambda: {"cjk": F.regexp_like(F.col("x"), F.lit(t.CJK))}, {"cjk": "regexp_matches(x, '[㐀-䶿一-鿿぀-ヿ가-힯]')"})
     c("q_txt_4_boundary", "s2", lambda: {"cut": t.byte_slice(F.col("h"), F.lit(7), F.lit(40))}, {"cut": o.cut("h", "least(7, len)", "least(40, len)")})
     c("q_txt_5_normalize", "s1", lambda: {"n": t.normalize(F.col("x"))}, {"n": o.normal("x")})
-    c("q_txt_6_sentences", "s3", lambda: {"n": F.size(t.sentences(F.col("x"))), "first": F.get(F.transform(t.sentences(F.col("x")), t.normalize), F.lit(0))}, {"n": "len(sents)::INT", "first": "sents[1]"})
+    c("q_txt_6_sentences", "s3", lambda: {"n": F.size("s"), "first": t.normalize(F.get("s", F.lit(0)))}, {"n": "len(sents)::INT", "first": "sents[1]"}, staged=lambda: t.sentences(F.col("x")))
     c("q_txt_7_paragraphs", "s3", lambda: {"n": F.size(t.paragraphs(F.col("x"))), "all": F.array_join(t.paragraphs(F.col("x")), "|")}, {"n": "len(paras)::INT", '"all"': "coalesce(array_to_string(paras, '|'), '')"})
     c("q_txt_8_no_code", "s3", lambda: {"p": t.without_code(F.col("x"))}, {"p": "plain_"})
     c("q_txt_9_chunks", "s3", lambda: {"n": F.size("s"), "lens": F.array_join(F.transform("s", F.char_length), ",")}, {"n": "CAST(least(10, length(plain_)) AS INT)", "lens": "coalesce(array_to_string(list_transform(range(least(10, length(plain_))), lambda i: CASE WHEN i + 1 = least(10, length(plain_)) THEN length(plain_) - i * (length(plain_) // least(10, length(plain_))) ELSE length(plain_) // least(10, length(plain_)) END), ','), '')"}, staged=lambda: t.chunks(t.without_code(F.col("x")), 10))

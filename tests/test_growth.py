@@ -144,3 +144,16 @@ def test_bootstrap_repeats_no_row(spark):
 @pytest.mark.parametrize("name", ["q_agg_26_label_stats", "q_jon_1_labels"])
 def test_what_reads_no_score_scores_nothing(spark, name):
     assert "thinking" not in plan(catalog.QUERIES[name](spark, SF)) and "InMemory" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_phrases_and_sentences_evaluate_their_text_once(spark):
+    rows = [("",), (None,), ("a b c d e f",), ("Short. It is. x",), ("汉" * 10 + "。 the rest is three",), ("wait. " * 400 + "thus, hence",)]
+    df = spark.createDataFrame(rows, "x string")
+    x = F.reverse(F.reverse("x"))
+    for c in (t.distinct_phrases(x, ("thus", "hence")), t.count_phrases(x, ("wait", "thus"))):
+        assert plan(df.select(c.alias("c"))).count("reverse(reverse(") == 1
+    assert plan(df.select(t.sentences(F.col("x")).alias("c"))).count("(?s)") == 1
+    pieces = F.transform(F.regexp_extract_all(F.col("x"), F.lit(t.SENTENCE), F.lit(0)), t.trim_u)
+    rest = F.filter(F.array(t.trim_u(F.regexp_replace("x", t.SENTENCE, ""))), lambda r: t.token_count(r) >= 3)
+    got = df.select(t.sentences(F.col("x")).alias("a"), F.concat(pieces, rest).alias("b"), t.distinct_phrases(x, ("thus", "hence")).alias("d"), t.count_phrases(x, ("wait", "thus")).alias("n")).collect()
+    assert all(r.a == r.b for r in got) and (got[-1].d, got[-1].n) == (2, 401) and (got[0].d, got[0].n) == (0, 0)
